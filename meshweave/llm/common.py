@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
@@ -22,7 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # nothing reads the shuffle files of this query once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._meshweave_path = path
     return out

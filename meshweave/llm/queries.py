@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canon_digest, html_density, mixing, quality_qda, simhash, token_count
+from . import canon_digest, html_density, mixing, quality_qda, simhash, suffix_array, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_text(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_quality_classifier, op6_document_fingerprints, op7_simhash_near_dedup, op8_mixing, op10_html_extraction)
+    f.__name__: f
+    for f in (
+        op3_token_counts, op5_quality_classifier, op6_document_fingerprints, op7_simhash_near_dedup, op8_mixing, op9_suffix_array_dedup,
+        op10_html_extraction,
+    )
 }
 
 #: DuckDB SQL for the queries that it can express over whole tables.
