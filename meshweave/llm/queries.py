@@ -6,19 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canon_digest, html_density, mixing, quality_qda, simhash, suffix_array, token_count
+from . import canon_digest, html_density, merkle_warc, mixing, nn_descent, quality_qda, sentencepiece_nbest, simhash, suffix_array, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_nbest.encode_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_warc.audit_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +60,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_token_counts, op5_quality_classifier, op6_document_fingerprints, op7_simhash_near_dedup, op8_mixing, op9_suffix_array_dedup,
+        op1_sentencepiece_nbest, op2_embedding_near_dedup, op3_token_counts, op4_warc_fixity, op5_quality_classifier, op6_document_fingerprints, op7_simhash_near_dedup, op8_mixing, op9_suffix_array_dedup,
         op10_html_extraction,
     )
 }
