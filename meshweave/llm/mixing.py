@@ -103,3 +103,16 @@ def schedule(planned: DataFrame) -> DataFrame:
         .select("doc_id", "pass", F.when(F.col("pass") < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words"), "position")
         .orderBy("position", "doc_id", "pass")
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, text, source, ...)`` as often as the mix takes them, range-sorted by position, with all their columns.
+
+    A document that the mix leaves before its middle isn't taken that time. Rows that
+    repeat an id are taken as often as the most taken of them.
+    """
+    planned = written(plan(docs).withColumn("part", F.when(2 * F.col("part") >= F.col("size"), F.col("part")).otherwise(0)), "plan")
+    turns = schedule(planned.where("whole > 0 or part > 0")).groupBy("doc_id", "pass").agg(F.min("position").alias("position"))
+    turns = turns.withColumnRenamed("doc_id", "taken_id")
+    out = docs.join(turns, docs["doc_id"].eqNullSafe(turns["taken_id"]))
+    return out.orderBy("position", "doc_id").select(*(docs[c] for c in docs.columns))

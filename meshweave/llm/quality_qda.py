@@ -120,6 +120,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learned(rows: DataFrame, labels: DataFrame) -> Discriminant:
+    """The discriminant of ``rows(doc_id, f)`` whose ``labels(doc_id, quality)`` are not held out.
+
+    A document with differing labels counts as the greatest; null labels and ids count as none.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return fit(rows.where(~held_out()).join(known, "doc_id").select("f", "label"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that score at least ``threshold``, with all their columns.
+
+    The statistics are taken twice, once for the fit and once beside the text, which so
+    needs no shuffle. Nulls, repeated rows and empty tables are as for :func:`classify`.
+    """
+    model = learned(with_statistics(docs), labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = model.scores(np.array([statistics(t.as_py()) for t in batch.column(at)]))
+                yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``.
 
@@ -131,8 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     from .common import written
 
     rows = written(with_statistics(docs), "statistics")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = fit(rows.where(~held_out()).join(known, "doc_id").select("f", "label"))
+    model = learned(rows, labels)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,3 +174,14 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFram
     named = written(rooted.select("print", "root").join(least, "root").select("print", "component_id"), "named")
     dropped(distinct, rooted, least)
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` whose doc_id is the smallest of their group, with all their columns.
+
+    Of rows that repeat an id one stays; rows without an id all stay, as nothing tells them apart.
+    """
+    named = near_duplicates(docs, limit, width)
+    first = written(named.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null")).select(docs.columns)

@@ -440,3 +440,9 @@ def deduplicate(docs: DataFrame, min_len: int = 50, keep: tuple[str, ...] = (),
     names = ["doc_id", *shown, "n_bytes", "n_removed", "n_spans", "text" if text else "kept_sha256"]
     joined = texts.join(lost, "doc_id", "left").select("doc_id", "text", "lost", *shown)
     return joined.mapInArrow(run, f"doc_id long, {types}n_bytes long, n_removed long, n_spans long, {names[-1]} string")
+
+
+def without_repeats(docs: DataFrame, min_len: int = 50) -> DataFrame:
+    """``docs(doc_id, text, n_chars, ...)`` with the kept text of each row and its length; a text that loses all its bytes is ''."""
+    out = deduplicate(docs, min_len, tuple(docs.columns), text=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
