@@ -190,6 +190,6 @@ def write(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.n
         at += size_of(arrays[name][1], True) if only else pad(size_of(arrays[name][1], True))
     for i in range(dims[record_dim] if record_dim else 0):
         for name in records:
-            raw = arrays[name][1][i].astype(arrays[name][1].dtype.newbyteorder(">")).tobytes()
+            raw = np.asarray(arrays[name][1][i]).astype(arrays[name][1].dtype.newbyteorder(">")).tobytes()
             body += raw + (b"" if only else b"\0" * (-len(raw) % 4))
     return b"CDF\x02" + head + body
