@@ -36,7 +36,8 @@ ENDS = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "
 WALLS = frozenset("ul ol dl table td th article section div body html aside nav header footer form main blockquote".split())
 
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"'=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+)[^>\"'=]*+)*+)>|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*>)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
@@ -58,6 +59,8 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
+        if name == "style" and HIDDEN.search(value):
+            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(value):
