@@ -54,7 +54,7 @@ class Node:
 def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main", "p", "b", "a", "br") and "=" not in attributes:
+    if not attributes or attributes.isspace():
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()

@@ -234,7 +234,7 @@ def test_kept_bytes():
     ("<article><header><h1>H</h1></header><p>body</p><div class='comment-list'><p>reader</p></div><form>f</form></article>", "H\nbody"),
     ("<script>var t='</p><p>no</p>';</script><style>p{}</style><p>yes</p><!-- <p>no</p> -->", "yes"),
     ("<div id=cookie-notice>We use cookies</div><div><h2>T</h2><p>Some longer text here.</p><p>And more.</p></div><div class=sidebar><p>x</p></div>", "T\nSome longer text here.\nAnd more."),
-    ("<p>a<b>bold</b>c</p>", "aboldc"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>&lt;b&gt; &eacute; &#8212;", "<b> é —"),
+    ("<div style='display: none'>x</div><p class=intro>y</p><p hidden>z</p>", "y"), ("<p>a<b>bold</b>c</p>", "aboldc"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>&lt;b&gt; &eacute; &#8212;", "<b> é —"),
 ])
 def test_main_text(page, text):
     assert html_density.main_text(page) == text
