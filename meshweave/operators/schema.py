@@ -31,6 +31,10 @@ class SchemaRows:
     attrs: DataFrame
     vars: DataFrame
 
+    def cached(self) -> SchemaRows:
+        """The same rows, kept: a step reads them several times, and they are metadata."""
+        return SchemaRows(self.axes, *(getattr(self, f).cache() for f in ("fragments", "dims", "chunks", "attrs", "vars")))
+
 
 def _must(ok: Column, what: Column | str, value: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(what if isinstance(what, Column) else F.lit(what)))
@@ -55,6 +59,7 @@ def reduce_axis(rows: SchemaRows, axis: Dimension) -> SchemaRows:
     """
     if axis not in rows.axes:
         raise ValueError(f"{axis} is no axis of these schemas")
+    rows = rows.cached()
     concat = axis.operation is CombineOp.CONCAT
     left = tuple(a for a in rows.axes if a != axis)
     keys = [f"{a.name}_pos" for a in left]
