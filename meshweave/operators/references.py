@@ -75,3 +75,17 @@ def write_json(references: DataFrame, path: str, metadata: dict[str, dict]) -> N
         refs[r["key"]] = "base64:" + base64.b64encode(bytes(r["inline"])).decode() if r["inline"] is not None else [r["url"], r["offset"], r["length"]]
     target, _, name = path.rpartition("/")
     Target(target).write(name, json.dumps({"version": 1, "refs": refs}).encode())
+
+
+def write_combined(references: DataFrame, position: str, concat_dim: str, dims_of: dict[str, Sequence[str]], path: str, metadata: dict[str, dict], identical: Sequence[str] = ()) -> DataFrame:
+    """Combine the references of all files and write them to ``path``, as its ending says; what was written."""
+    if references.isEmpty():
+        raise ValueError("there are no references to combine")
+    combined = combine(references, position, concat_dim, dims_of, identical)
+    if path.endswith(".parquet"):
+        write_parquet(combined, path, metadata)
+    elif path.endswith(".json"):
+        write_json(combined, path, metadata)
+    else:
+        raise NotImplementedError(f"references are written as .parquet or .json, not as {path.rpartition('/')[2]}")
+    return combined

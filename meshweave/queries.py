@@ -454,6 +454,20 @@ def zarr_roundtrip(spark, sf_dir):
     return zarr3.read(spark, store.write(_event_schema(events.count()), _event_variables(events)).root, "value")
 
 
+@query("SELECT event_id AS time_pos, value FROM events WHERE event_id >= 150 AND event_id < 900")
+def zarr_pushdown(spark, sf_dir):
+    """A part of a store read through the data source: the comparisons choose the chunks that are opened."""
+    from .sources import datasource
+
+    datasource.register(spark)
+    events, root = _events(spark, sf_dir), f"{_store_root(spark)}/events.zarr"
+    n = events.count()
+    blocks = rechunk.assemble(events, "value", "float64", {"time": n}, {"time": 100})
+    options = {"path": root, "variable": "value", "dims": "time", "shape": str(n), "chunks": "100", "dtype": "float64", "codec": "zstd"}
+    blocks.select("time_chunk", "data").write.format("meshweave").options(**options).mode("append").save()
+    return spark.read.format("meshweave").options(path=root, variable="value").load().where("time_pos >= 150 and time_pos < 900")
+
+
 @query("SELECT event_id AS time_pos, value FROM events")
 def zarr_append(spark, sf_dir):
     """The first half, then the second one behind it."""

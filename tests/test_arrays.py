@@ -263,6 +263,12 @@ def test_references(spark, tmp_path):
     references.write_json(combined, f"{tmp_path}/store/reference.json", {"": zarr3.group_document()})
     held = json.load(open(f"{tmp_path}/store/reference.json"))
     assert held["refs"]["foo/c/1/0/0"][1] == rows["foo/c/1/0/0"].offset and held["refs"]["time/c/0"].startswith("base64:")
+    references.write_combined(refs, "time_pos", "time", dims, f"{tmp_path}/w/reference.json", {})
+    assert len(json.load(open(f"{tmp_path}/w/reference.json"))["refs"]) == 19
+    with pytest.raises(NotImplementedError):
+        references.write_combined(refs, "time_pos", "time", dims, f"{tmp_path}/w/reference.csv", {})
+    with pytest.raises(ValueError, match="no references"):
+        references.write_combined(refs.limit(0), "time_pos", "time", dims, f"{tmp_path}/w/reference.json", {})
     with pytest.raises(ValueError):
         openers.open_references(table, "opendap")
     with pytest.raises(NotImplementedError):
@@ -302,3 +308,40 @@ def test_stream_appends(spark, tmp_path):
     query = append_stream(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda batch, n: seen.append((n, batch.count())), f"{tmp_path}/check")
     query.awaitTermination(60)
     assert seen == [(0, 5)]
+
+
+def test_data_source(spark, tmp_path):
+    from meshweave.sources import datasource
+
+    datasource.register(spark)
+    found = files(tmp_path, 4, 2)
+    both = spark.read.format("meshweave").options(type="netcdf3", path="\n".join(u for *_, u in found), variable="foo").load()
+    foo, _ = values(4)
+    assert both.count() == foo.size and np.isclose(both.agg(F.sum("foo")).first()[0], foo.sum())
+    reader = datasource.ArrayReader({"type": "netcdf3", "path": found[0][2], "variable": "foo"})
+    assert reader.schema() == "`time_pos` long, `lat_pos` long, `lon_pos` long, `foo` double"
+    blocks = spark.createDataFrame([(i, np.arange(3.0 * i, 3.0 * i + 3).tobytes()) for i in range(4)], "x_chunk long, data binary")
+    options = {"path": f"{tmp_path}/s.zarr", "variable": "v", "dims": "x", "shape": "11", "chunks": "3", "dtype": "float64"}
+    blocks.write.format("meshweave").options(**options).mode("append").save()
+    part = spark.read.format("meshweave").options(path=f"{tmp_path}/s.zarr", variable="v").load().where("x_pos > 3 and x_pos <= 7")
+    assert sorted(r.v for r in part.collect()) == [4.0, 5.0, 6.0, 7.0] and part.rdd.getNumPartitions() == 2
+    assert spark.read.format("meshweave").options(path=f"{tmp_path}/s.zarr", variable="v").load().where("x_pos = 10").first()["v"] == 10.0
+
+
+def bake(spark, settings, prune):
+    bake.seen = settings, prune
+
+
+def test_recipes(tmp_path):
+    from meshweave.plans.recipes import load_registry, main
+
+    (tmp_path / "r.json").write_text(json.dumps({"one": "tests.test_arrays:bake"}))
+    assert main([str(tmp_path / "r.json"), "one", "--prune", "--conf", "TARGET_STORAGE=/x"]) == ["one"]
+    from tests.test_arrays import bake as ran
+
+    assert ran.seen == ({"TARGET_STORAGE": "/x"}, 2)
+    with pytest.raises(SystemExit):
+        main([str(tmp_path / "r.json"), "two"])
+    (tmp_path / "r.json").write_text(json.dumps({"one": "nothing"}))
+    with pytest.raises(ValueError):
+        load_registry(str(tmp_path / "r.json"))
