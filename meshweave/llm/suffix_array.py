@@ -296,62 +296,40 @@ def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "gram long, word long, least long, context binary")
 
 
-def _compared(contexts: DataFrame, members: DataFrame, min_len: int) -> DataFrame:
-    """(doc, tag, start, end): strings that ``members(gram, word, doc, spot)`` lose, runs of starts together."""
-    columns = 2 * (min_len - GRAM) + GRAM
+def _minima(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(gram, word, first, last, least): for each distinct context, runs of its strings' starts
+    (as distances before the anchor, from first down to last) that have one smallest document."""
     left = min_len - GRAM
-    schema = ["doc", "tag", "start", "end"]
-
-    def judge(gram: np.ndarray, word: np.ndarray, doc: np.ndarray, spot: np.ndarray, context: pa.Array) -> pa.RecordBatch:
-        rows = np.flatnonzero(spot < 0)
-        rows = rows[np.lexsort((word[rows], gram[rows]))]
-        rows = rows[np.r_[True, (gram[rows][1:] != gram[rows][:-1]) | (word[rows][1:] != word[rows][:-1])]] if len(rows) else rows
-        if not len(rows):
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(0, np.int64))] * 4, schema)
-        table = np.zeros((len(rows), columns), np.uint16)
+    columns = 2 * left + GRAM
+    names = ["gram", "word", "first", "last", "least"]
+
+    def judge(gram: np.ndarray, word: np.ndarray, least: np.ndarray, context: pa.Array) -> pa.RecordBatch:
+        order = np.lexsort((least, word, gram))
+        new = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (word[order][1:] != word[order][:-1])]
+        rows = order[new]
+        gram, word, least = gram[rows], word[rows], least[rows]
+        before, after = word >> 6 & 63, word & 63
         picked = context.take(pa.array(rows))
-        flat = np.frombuffer(picked.buffers()[2], np.uint8) if picked.buffers()[2] else np.zeros(0, np.uint8)
+        flat = np.frombuffer(picked.buffers()[2], np.uint8)
         bounds = np.frombuffer(picked.buffers()[1], np.int32)[picked.offset : picked.offset + len(rows) + 1].astype(np.int64)
         sizes = np.diff(bounds)
         inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begin = left - (word[rows] >> 6 & 63)
-        table[np.repeat(np.arange(len(rows)), sizes), np.repeat(begin, sizes) + inner] = flat[bounds[0] : bounds[-1]].astype(np.uint16) + 1
-        low = bounded_minima(table, gram[rows], doc[rows], min_len)
-        mine = np.flatnonzero(spot >= 0)
-        # A member's context is found by both of its words.
-        keys = np.r_[gram[rows], gram[mine]].astype(np.int64), np.r_[word[rows], word[mine]]
-        order = np.lexsort((np.r_[np.zeros(len(rows), np.int8), np.ones(len(mine), np.int8)], keys[1], keys[0]))
-        is_row = order < len(rows)
-        latest = np.maximum.accumulate(np.where(is_row, np.arange(len(order)), -1))
-        owner = np.empty(len(mine), np.int64)
-        picks = ~is_row
-        owner[order[picks] - len(rows)] = order[np.maximum(latest[picks], 0)]
-        owner = np.where((owner < len(rows)) & (gram[rows][np.minimum(owner, len(rows) - 1)] == gram[mine]) & (word[rows][np.minimum(owner, len(rows) - 1)] == word[mine]), owner, -1)
-        mine, owner = mine[owner >= 0], owner[owner >= 0]
-        out = [[], [], [], []]
-        before, after = word[mine] >> 6 & 63, word[mine] & 63
-        for some in range(0, len(mine), CONTEXT_BLOCK):
-            part = slice(some, some + CONTEXT_BLOCK)
-            column = np.arange(left + 1)
-            lost = (low[owner[part]] < doc[mine[part]][:, None]) & (column >= (left - before[part])[:, None]) & (column <= (left - after[part])[:, None])
-            edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (who, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            who = mine[part][who]
-            shift = (spot[who] >> 32) - left
-            runs = spot[who] & 0xFFFF
-            which = np.repeat(np.arange(len(who)), runs)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
-            step = ((word[who] >> 6 & 63) - (word[who] & 63) + 1)[which] * nth
-            for x, y in zip(out, (doc[who][which], (spot[who] >> 16 & 0xFFFF)[which], (shift + first)[which] + step, (shift + end - 1)[which] + step + min_len)):
-                x.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], schema)
+        table = np.zeros((len(rows), columns), np.uint16)
+        table[np.repeat(np.arange(len(rows)), sizes), np.repeat(left - before, sizes) + inner] = flat[bounds[0] : bounds[-1]].astype(np.uint16) + 1
+        low = bounded_minima(table, gram, least, min_len)
+        column = np.arange(left + 1)
+        own = (column >= (left - before)[:, None]) & (column <= (left - after)[:, None])
+        start = own & np.pad(~own[:, :-1] | (low[:, 1:] != low[:, :-1]), ((0, 0), (1, 0)), constant_values=True)
+        end = own & np.pad(~own[:, 1:] | (low[:, 1:] != low[:, :-1]), ((0, 0), (0, 1)), constant_values=True)
+        (who, first), (_, last) = np.nonzero(start), np.nonzero(end)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[who], word[who], left - first, left - last, low[who, first])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             whole = table.combine_chunks().to_batches()[0]
-            return judge(*(whole.column(i).to_numpy(zero_copy_only=False) for i in range(4)), whole.column(4))
+            return judge(*(whole.column(i).to_numpy(zero_copy_only=False) for i in range(3)), whole.column(3))
 
         for batch in batches:
             if not batch.num_rows:
@@ -360,31 +338,29 @@ def _compared(contexts: DataFrame, members: DataFrame, min_len: int) -> DataFram
             if sum(b.num_rows for b in held) >= CONTEXT_BLOCK and held[0].column(0)[0] != batch.column(0)[-1]:
                 table = pa.Table.from_batches(held)
                 grams = table.column(0).to_numpy()
-                last = int(np.searchsorted(grams, grams[-1]))
-                yield flush(table.slice(0, last))
-                held = table.slice(last).combine_chunks().to_batches()
+                at = int(np.searchsorted(grams, grams[-1]))
+                yield flush(table.slice(0, at))
+                held = table.slice(at).combine_chunks().to_batches()
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    # A context has spot -1, a member no bytes.
-    asked = contexts.select("gram", "word", F.col("least").alias("doc"), F.lit(-1).cast("long").alias("spot"), "context")
-    asked = asked.union(members.select("gram", "word", "doc", "spot", F.lit(None).cast("binary")))
-    return asked.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, tag long, start long, end long")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, word long, first long, last long, least long")
 
 
 def repeats(docs: DataFrame, min_len: int = 50) -> DataFrame:
     """(doc_id, lost) for documents that lose bytes; lost: array of (tag, start, end) of ``docs(doc_id long, text)``."""
     texts = docs.select("doc_id", "text")
     shared = written(_shared(_places(texts, min_len)), "shared")
-    members = shared.where("many").select("gram", "word", "doc", "spot")
-    compared = written(_compared(_contexts(texts, shared, min_len), members, min_len), "compared")
-    strings = F.expr("(word >> 6 & 63) - (word & 63) + 1")
-    plain = shared.where("not many").select(
-        "doc",
-        F.expr("spot >> 16 & 65535").alias("tag"),
-        F.expr("(spot >> 32) - (word >> 6 & 63)").alias("start"),
-        (F.expr(f"(spot >> 32) - (word & 63) + {min_len}") + strings * F.expr("(spot & 65535) - 1")).alias("end"),
-    )
+    minima = written(_minima(_contexts(texts, shared, min_len), min_len), "minima")
+    # Every row of a context meets its runs: a join that may split a hot context.
+    met = shared.where("many").select("gram", "word", "doc", "spot").join(minima, ["gram", "word"]).where("least < doc")
+    whole = F.expr("first = (word >> 6 & 63) and last = (word & 63)")  # then a periodic run is lost in one piece
+    turns = F.expr("(spot & 65535) - 1")
+    met = met.withColumn("turn", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), turns))))
+    met = met.withColumn("more", F.when(whole, turns).otherwise(F.lit(0)))
+    tag, at, step = F.expr("spot >> 16 & 65535").alias("tag"), F.expr("spot >> 32"), F.expr("(word >> 6 & 63) - (word & 63) + 1")
+    compared = met.select("doc", tag, (at - F.col("first") + F.col("turn") * step).alias("start"), (at - F.col("last") + min_len + (F.col("turn") + F.col("more")) * step).alias("end"))
+    plain = shared.where("not many").select("doc", tag, (at - F.expr("word >> 6 & 63")).alias("start"), (at - F.expr("word & 63") + min_len + step * turns).alias("end"))
     lost = compared.union(plain).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("lost"))
     return lost
 
