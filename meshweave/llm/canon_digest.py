@@ -63,39 +63,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = F.xxhash64("text").alias("h")
     plain = written(texts.select("k", hashed, F.length("text").alias("n"), canonical(F.col("text")).alias("c")).select("k", "h", "n", digest(F.col("c")).alias("d")), "digests")
-    order = written(following(plain.groupBy("k").agg(F.max(F.expr("n div 4")).alias("need"))), "next")
+    # Rows in buckets with others keep their canonical text for the comparison of bytes.
+    alike = written(plain.groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d"), "alike")
+    suspects = plain.join(alike, "d").select("k").distinct().withColumn("suspect", F.lit(True))
+    order = following(plain.groupBy("k").agg(F.max(F.expr("n div 4")).alias("need")))
+    order = written(order.join(suspects, "k", "left").withColumn("suspect", F.coalesce("suspect", F.lit(False))), "next")
 
-    # The texts are shuffled by id once; the three uses below share that exchange.
+    # The texts are shuffled by id once; both uses below share that exchange.
     starts = (
-        texts.select("k", "text").join(order.select(F.col("next").alias("k"), F.col("k").alias("owner"), "need"), "k")
-        .select(F.col("owner").alias("k"), hashed, F.expr("left(text, cast(need as int))").alias("start"))
-        .groupBy("k").agg(F.min(F.struct("h", "start"))["start"].alias("start"))
+        texts.select("k", "text").join(order.select(F.col("next").alias("k"), F.col("k").alias("owner"), "need", "suspect"), "k")
+        .select(F.col("owner").alias("k"), hashed, F.expr("left(text, cast(need as int))").alias("start"), "suspect")
+        .groupBy("k").agg(F.min(F.struct("h", "start"))["start"].alias("start"), F.max("suspect").alias("suspect"))
     )
     edited = (
         texts.select("k", "text").join(starts, "k")
-        .select("k", hashed, F.length("text").alias("n"), "text", F.expr("concat(left(text, length(text) - length(text) div 4), left(start, length(text) div 4))").alias("edited"))
-        .select("k", "h", "n", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"))
-        .select("k", "h", "n", "edited_sha256", digest(F.col("c")).alias("d"), digest(F.col("e")).alias("ed"), (F.col("c") == F.col("e")).alias("same"))
+        .select("k", "suspect", hashed, F.length("text").alias("n"), "text", F.expr("concat(left(text, length(text) - length(text) div 4), left(start, length(text) div 4))").alias("edited"))
+        .select("k", "suspect", "h", "n", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"))
+        .select("k", "h", "n", "edited_sha256", digest(F.col("c")).alias("d"), digest(F.col("e")).alias("ed"), (F.col("c") == F.col("e")).alias("same"), F.when(F.col("suspect"), F.col("c")).alias("c"))
     )
-    done = written(edited, "edited")
-
-    # Equal buckets: distinct canonical texts of a digest, counted before they move.
-    alike = plain.groupBy("d").agg(F.count_distinct("h").alias("m")).where("m > 1").select("d")
-    suspects = written(plain.join(alike, "d").select("k", "h", "d").distinct(), "suspects")
-    compared = (
-        texts.select("k", hashed, "text").join(suspects, ["k", "h"])
-        .select("d", canonical(F.col("text")).alias("c"))
-        .groupBy("d", "c").agg(F.count("*").alias("m"))
-        .groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d")
-    )
-    clashing = written(compared, "clashing")
-    ordinals = (
-        texts.select("k", hashed, "text").join(suspects.join(clashing, "d"), ["k", "h"])
-        .select("d", "h", canonical(F.col("text")).alias("c"))
-        .distinct()
-        .select("d", "h", (F.dense_rank().over(Window.partitionBy("d").orderBy("c")) - 1).alias("ordinal"))
-    ) if not clashing.isEmpty() else None
-    if ordinals is not None:
+    with_text = written(edited, "edited")
+
+    # Equal buckets: equal texts collapse where they lie before they move, so copies cost nothing more.
+    distinct = with_text.where("c is not null").groupBy("d", "c").agg(F.count("*").alias("m"))
+    clashing = written(distinct.groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d"), "clashing")
+    done = with_text.drop("c")
+    if not clashing.isEmpty():
+        ordinals = with_text.join(clashing, "d").select("d", "h", "c").distinct().select("d", "h", (F.dense_rank().over(Window.partitionBy("d").orderBy("c")) - 1).alias("ordinal"))
         done = done.join(ordinals, ["d", "h"], "left").withColumn("d", F.when(F.col("ordinal") > 0, F.concat("d", F.lit("-"), F.col("ordinal"))).otherwise(F.col("d"))).drop("ordinal")
     after = done.groupBy("k").agg(F.min(F.struct("h", "d"))["d"].alias("nd"))
     after = order.join(after.withColumnRenamed("k", "next"), "next").select("k", "nd")
@@ -108,5 +101,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.when(F.col("same"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("near_edited"),
         F.when(F.col("d") == F.col("nd"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("near_next"),
     )
-    dropped(plain, suspects, clashing) if ordinals is None else None
+    dropped(plain, alike)
     return out
