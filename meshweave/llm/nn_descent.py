@@ -23,8 +23,8 @@ from .common import components, dropped, written
 LIST, CODES, CELL, CELL_MOST = 8, 4, 48, 192
 #: Rounds at most for each length of the lists, doublings of it, nodes audited, and the recall asked for.
 ROUNDS, DOUBLINGS, AUDITED, RECALL = 4, 2, 256, 0.98
-#: Least and greatest block in which members of a component are compared, and copies made of a member at most in between.
-BLOCK_LEAST, BLOCK_MOST, BLOCK_COPIES = 64, 2048, 64
+#: Least and greatest block in which nodes of a part are compared, and copies made of a node at most in between.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_COPIES = 64, 2048, 8
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -185,35 +185,58 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> tuple[DataFr
     return missed, missed.count(), exact.count()
 
 
-def _counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, linked): the multiplicities of the nodes linked to each, by comparing every component's members in blocks.
-
-    A component's nodes are dealt into blocks by hash; every two blocks meet in a group of
-    their own, which gives a number for each node and no pairs.
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges enough to connect what the symmetric ``near`` connects: one less than each group's members."""
+    rest, a, b = np.ones(len(near), bool), [], []
+    for start in range(len(near)):
+        todo = [start] if rest[start] else []
+        rest[start] = False
+        while todo:
+            one = todo.pop()
+            found = np.flatnonzero(near[one] & rest)
+            rest[found] = False
+            todo += found.tolist()
+            a.append(np.full(len(found), one))
+            b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _compared(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(node, linked, other), by comparing every two nodes of a part in blocks.
+
+    The sums of linked are the multiplicities of the nodes linked to each; other, where
+    not null, is a node of another component that links reach, enough of them to connect
+    all that links connect beyond ``roots``. The nodes of a part are dealt into blocks by
+    hash; every two blocks meet in a group of their own, which gives a number for each
+    node, and fewer edges than it has nodes.
     """
-    sizes = written(roots.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("n"))
     most = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(F.col("n") / BLOCK_COPIES)))
-    placed = roots.join(sizes, "root").withColumn("m", F.ceil(F.col("n") / most)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("m"))).select("root", "node", "m", "block")
-    pairs = written(placed, "placed").join(nodes.select("node", "v", "copies"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    keys = ["root", "low", "high"]
-    pairs = pairs.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "v")
+    placed = nodes.join(sizes, "part").withColumn("m", F.ceil(F.col("n") / most)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")))
+    placed = placed.join(roots, "node", "left").select("part", "node", F.coalesce("root", "node").alias("root"), "copies", "v", "m", "block")
+    pairs = written(placed, "placed").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    keys = ["part", "low", "high"]
+    pairs = pairs.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "copies", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_node, out_count = [], []
         for group in _groups(batches, keys):
             x, node, copies = _unit(group.column("v").combine_chunks()), group.column("node").to_numpy(), group.column("copies").to_numpy()
-            block = group.column("block").to_numpy()
+            block, root = group.column("block").to_numpy(), group.column("root").to_numpy()
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             near = x @ x.T >= threshold
+            near |= near.T
             np.fill_diagonal(near, False)
             if low != high:
                 near &= block[:, None] != block[None]
-            out_node.append(node)
-            out_count.append(near @ copies)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (out_node, out_count)], ["node", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((near @ copies).astype(np.int64)), pa.nulls(len(node), pa.int64())], ["node", "linked", "other"])
+            if (near & (root[:, None] != root[None])).any():
+                a, b = _forest(near)
+                differ = root[a] != root[b]
+                a, b = a[differ], b[differ]
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(np.zeros(len(a), np.int64)), pa.array(node[b])], ["node", "linked", "other"])
 
-    found = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, linked long")
-    return found.groupBy("node").agg(F.sum("linked").alias("linked"))
+    found = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, linked long, other long")
+    return written(found, "compared")
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -259,7 +282,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         graph = graph.withColumn("fresh", F.lit(True))
         graph = written(graph, "graph")
     roots = components(links.union(extra).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    counted = _counts(nodes, roots, threshold)
+    compared = _compared(nodes, roots, threshold)
+    beyond = compared.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if not beyond.isEmpty():
+        roots = components(beyond.union(roots.select("node", "root")))
+    counted = compared.groupBy("node").agg(F.sum("linked").alias("linked"))
     named = written(
         nodes.drop("v").join(roots, "node", "left").join(counted, "node", "left")
         .select(*equal, (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")),

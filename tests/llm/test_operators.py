@@ -271,3 +271,38 @@ def test_vectors(spark):
     assert np.mean([a == b for a, b in zip(found, expected)]) > 0.98 and len(found) == len(rows)
     assert sum(r.n_links for r in nn_descent.link_vectors(vectors).collect()) >= 0.98 * sum(r[1] for r in plain_links(rows))
     assert nn_descent.link_vectors(vectors.limit(0)).count() == 0
+
+
+def near(center, share, rng):
+    """A unit vector whose cosine with ``center`` is ``share``."""
+    x = rng.normal(size=len(center))
+    x -= x @ center * center
+    return share * center + math.sqrt(1 - share**2) * x / np.sqrt(x @ x)
+
+
+def tight_pair(rng, d=64, each=20):
+    """Two groups of ``each`` vectors: cosine about 0.999 within, about 0.985 across."""
+    a = rng.normal(size=d)
+    a /= np.sqrt(a @ a)
+    b = near(a, 0.986, rng)
+    return [near(c, math.sqrt(0.9995), rng) for c in (a, b) for _ in range(each)]
+
+
+def exactly_linked(spark, rows):
+    vectors = spark.createDataFrame([(i, v.astype(np.float32).tolist(), p) for i, v, p in rows], "vec_id long, embedding array<float>, label int")
+    found = nn_descent.link_vectors(vectors).collect()
+    assert sorted(map(key, found)) == sorted(map(key, plain_links([tuple(r) for r in vectors.collect()])))
+    return {r.vec_id: r for r in found}
+
+
+def late_ids(spark, n, count):
+    """The ``count`` of the ids 0 to n - 1 whose hashes are greatest, which a sample by least hash leaves out, and the others."""
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id").desc()).collect()]
+    return ids[:count], ids[count:]
+
+
+def test_vectors_of_tight_groups_side_by_side(spark):
+    rng = np.random.default_rng(2)
+    late, others = late_ids(spark, 500, 40)
+    found = exactly_linked(spark, [(i, v, 0) for i, v in zip(late, tight_pair(rng))] + [(i, rng.normal(size=64), 0) for i in others])
+    assert all(found[i].n_links == 39 and found[i].component_id == min(late) for i in late)
