@@ -3,9 +3,9 @@
 Equal vectors count as one node with a multiplicity. The first graph joins nodes that fall
 into the same cell of a few random sign codes. Each round brings the neighbours of every
 node together, both those that it lists and those that list it, and offers each to the
-others; lists keep the nearest. Lists full of links are enlarged to all that chains of
-links reach, compared in blocks; an exact search for a bounded sample of nodes audits the
-recall and has the rounds go on with longer lists while it is too low.
+others; lists keep the nearest. Their links name components early; after that, whatever
+the graph holds, all nodes of a part are compared in blocks, which counts every link and
+joins the components that the graph left apart.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import components, dropped, written
 
 #: Neighbours in a list at first; codes of the first graph, with the nodes that one of their cells is meant to hold and those that it may hold.
 LIST, CODES, CELL, CELL_MOST = 8, 4, 48, 192
-#: Rounds at most for each length of the lists, doublings of it, nodes audited, and the recall asked for.
-ROUNDS, DOUBLINGS, AUDITED, RECALL = 4, 2, 256, 0.98
+#: Rounds at most, and nodes audited.
+ROUNDS, AUDITED = 4, 256
 #: Least and greatest block in which nodes of a part are compared, and copies made of a node at most in between.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_COPIES = 64, 2048, 8
 
@@ -261,27 +261,18 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     equal = ["part", "h1", "h2"]
     nodes = written(rows.where("sound").groupBy(*equal).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")), "nodes")
     graph, coded = _first_graph(nodes, LIST)
-    k, extra = LIST, None
-    for doubling in range(DOUBLINGS + 1):
-        for _ in range(ROUNDS):
-            offers = _offers(nodes, graph, k)
-            old = graph.select("src", "dst", "sim").withColumn("fresh", F.lit(False))
-            better = offers.withColumn("fresh", F.lit(True)).join(old.select("src", "dst"), ["src", "dst"], "left_anti")
-            graph_new = written(_nearest(old.unionByName(better), k), "graph")
-            dropped(graph)
-            graph = graph_new
-            if graph.where(f"fresh and sim >= {threshold}").isEmpty():
-                break
-        links = graph.where(F.col("sim") >= threshold).select("src", "dst", "sim")
-        links = written(links if extra is None else links.union(extra), "links")
-        missed, n_missed, n_exact = _audit(nodes, links, threshold)
-        extra = missed if extra is None else written(extra.union(missed), "extra")
-        if n_missed <= (1 - RECALL) * n_exact:
+    for _ in range(ROUNDS):
+        offers = _offers(nodes, graph, LIST)
+        old = graph.select("src", "dst", "sim").withColumn("fresh", F.lit(False))
+        better = offers.withColumn("fresh", F.lit(True)).join(old.select("src", "dst"), ["src", "dst"], "left_anti")
+        graph_new = written(_nearest(old.unionByName(better), LIST), "graph")
+        dropped(graph)
+        graph = graph_new
+        if graph.where(f"fresh and sim >= {threshold}").isEmpty():
             break
-        k *= 2
-        graph = graph.withColumn("fresh", F.lit(True))
-        graph = written(graph, "graph")
-    roots = components(links.union(extra).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    links = written(graph.where(F.col("sim") >= threshold).select("src", "dst", "sim"), "links")
+    missed = _audit(nodes, links, threshold)[0]
+    roots = components(links.union(missed).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     compared = _compared(nodes, roots, threshold)
     beyond = compared.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     if not beyond.isEmpty():

@@ -306,3 +306,11 @@ def test_vectors_of_tight_groups_side_by_side(spark):
     late, others = late_ids(spark, 500, 40)
     found = exactly_linked(spark, [(i, v, 0) for i, v in zip(late, tight_pair(rng))] + [(i, rng.normal(size=64), 0) for i in others])
     assert all(found[i].n_links == 39 and found[i].component_id == min(late) for i in late)
+
+
+def test_vectors_after_a_thin_graph(spark, monkeypatch):
+    for name, value in (("CODES", 1), ("CELL_MOST", 2), ("ROUNDS", 1), ("AUDITED", 1)):
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    exactly_linked(spark, [(i, base[i % 60] + 0.02 * rng.normal(size=16), 0) for i in range(300)])
