@@ -21,8 +21,8 @@ from .common import components, dropped, written
 
 #: Neighbours in a list at first; codes of the first graph, with the nodes that one of their cells is meant to hold and those that it may hold.
 LIST, CODES, CELL, CELL_MOST = 8, 4, 48, 192
-#: Rounds at most, and nodes audited.
-ROUNDS, AUDITED = 4, 256
+#: Rounds at most.
+ROUNDS = 4
 #: Least and greatest block in which nodes of a part are compared, and copies made of a node at most in between.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_COPIES = 64, 2048, 8
 
@@ -155,36 +155,6 @@ def _offers(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(join, EDGE)
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
-    """Exact links of a bounded sample of nodes: those whose ends are in different components so far, and how many of all those are."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("part", "node", "v").toArrow()
-    parts, ids = sample.column("part").to_numpy(), sample.column("node").to_numpy()
-    rows = sample.column("v").to_pylist()
-    by_part = {p: (ids[parts == p], np.array([r for r, q in zip(rows, parts) if q == p], np.float64)) for p in set(parts.tolist())}
-    by_part = {p: (i, x / np.sqrt((x * x).sum(1))[:, None]) for p, (i, x) in by_part.items()}
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, dst, sim = [], [], []
-            part, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for p in set(part.tolist()) & by_part.keys():
-                rows = np.flatnonzero(part == p)
-                s = _unit(batch.column(2).take(pa.array(rows))) @ by_part[p][1].T
-                a, b = np.nonzero(s >= threshold)
-                differ = node[rows][a] != by_part[p][0][b]
-                a, b = a[differ], b[differ]
-                src.append(by_part[p][0][b])
-                dst.append(node[rows][a])
-                sim.append(s[a, b])
-            yield _edges(src, dst, sim)
-
-    exact = written(nodes.select("part", "node", "v").mapInArrow(search, EDGE), "audit")
-    roots = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r_{n}")) for n in ("src", "dst"))
-    missed = written(exact.join(a, "src", "left").join(b, "dst", "left").where("r_src is null or r_dst is null or r_src <> r_dst").select("src", "dst", "sim"), "missed")
-    return missed, missed.count(), exact.count()
-
-
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges enough to connect what the symmetric ``near`` connects: one less than each group's members."""
     rest, a, b = np.ones(len(near), bool), [], []
@@ -260,7 +230,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     )
     equal = ["part", "h1", "h2"]
     nodes = written(rows.where("sound").groupBy(*equal).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")), "nodes")
-    graph, coded = _first_graph(nodes, LIST)
+    graph, _ = _first_graph(nodes, LIST)
     for _ in range(ROUNDS):
         offers = _offers(nodes, graph, LIST)
         old = graph.select("src", "dst", "sim").withColumn("fresh", F.lit(False))
@@ -271,8 +241,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         if graph.where(f"fresh and sim >= {threshold}").isEmpty():
             break
     links = written(graph.where(F.col("sim") >= threshold).select("src", "dst", "sim"), "links")
-    missed = _audit(nodes, links, threshold)[0]
-    roots = components(links.union(missed).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    roots = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     compared = _compared(nodes, roots, threshold)
     beyond = compared.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     if not beyond.isEmpty():

@@ -314,3 +314,15 @@ def test_vectors_after_a_thin_graph(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
     exactly_linked(spark, [(i, base[i % 60] + 0.02 * rng.normal(size=16), 0) for i in range(300)])
+
+
+def test_vectors_of_small_groups_beside_a_hot_one(spark, monkeypatch):
+    for name, value in (("CODES", 1), ("CELL", 1), ("ROUNDS", 1)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(4)
+    late, others = late_ids(spark, 700, 60)
+    hot, pairs = rng.normal(size=32), rng.normal(size=(30, 32))
+    rows = [(i, pairs[k // 2] + 0.02 * rng.normal(size=32), 0) for k, i in enumerate(late)]
+    rows += [(i, hot + 0.02 * rng.normal(size=32) if k % 2 else rng.normal(size=32), 0) for k, i in enumerate(others)]
+    found = exactly_linked(spark, rows)
+    assert all(found[i].n_links == 1 for i in late)
