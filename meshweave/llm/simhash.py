@@ -119,13 +119,14 @@ def links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray,
     return both[:, 0], both[:, 1]
 
 
-def _prints(df: DataFrame, width: int) -> DataFrame:
+def _prints(df: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "print"])
+            found = [fingerprint(t.as_py(), width) for t in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.int64())], [*keep, "print"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, print long")
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, "text").mapInArrow(run, f"{schema}, print long")
 
 
 def print_links(prints: DataFrame, limit: int) -> DataFrame:
@@ -157,6 +158,12 @@ def print_links(prints: DataFrame, limit: int) -> DataFrame:
     return met.mapInArrow(meet, "a long, b long")
 
 
+def _rooted(distinct: DataFrame, limit: int) -> DataFrame:
+    """``distinct(print, ...)`` with the root of each fingerprint's component."""
+    roots = components(print_links(distinct.select("print"), limit)).withColumnRenamed("node", "print")
+    return written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs(doc_id long, text)``.
 
@@ -168,8 +175,7 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFram
     """
     prints = written(_prints(docs, width), "prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(print_links(distinct.select("print"), limit)).withColumnRenamed("node", "print")
-    rooted = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+    rooted = _rooted(distinct, limit)
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(rooted.select("print", "root").join(least, "root").select("print", "component_id"), "named")
     dropped(distinct, rooted, least)
@@ -177,11 +183,17 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFram
 
 
 def keep_first(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` whose doc_id is the smallest of their group, with all their columns.
+    """One row of ``docs(doc_id, text, ...)`` for each group of near-duplicates, with all its columns: that of the smallest doc_id.
 
-    Of rows that repeat an id one stays; rows without an id all stay, as nothing tells them apart.
+    Rows without an id come last in their group. Rows are told apart by 128 bits of hash
+    over all columns, so rows that share an id and aren't alike are groups of their own;
+    of a group's rows with its smallest id, the one of the least hash stays.
     """
-    named = near_duplicates(docs, limit, width)
-    first = written(named.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(docs.columns)
+    keys = ["row_hash_1", "row_hash_2"]
+    keyed = docs.select("*", *(F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns)).alias(name) for k, name in enumerate(keys)))
+    prints = _prints(keyed, width, ("doc_id", *keys))
+    distinct = written(prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("least")), "distinct")
+    rooted = _rooted(distinct, limit)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.row_hash_1", "least.row_hash_2"), "first")
+    dropped(distinct, rooted)
+    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -132,6 +132,13 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(own)
 
 
+def test_first_of_rows_with_clashing_or_missing_ids(spark):
+    a, b, c = ("".join(f"{w}{k} " for k in range(40)) for w in ("red", "green", "blue"))
+    rows = [(1, a), (1, b), (2, b), (0, a), (None, c), (None, c), (None, a), (1, b)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(key, kept)) == sorted(map(key, [(0, a), (1, b), (None, c)]))
+
+
 def test_mixing(docs, empty):
     rows = mixing.plan(docs).collect()
     sizes = {}
