@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sentencepiece_nbest.encode_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    results = ("ids", "n_pieces", "scores", "nbest_sha256", "decoded_equal")
+    return sentencepiece_nbest.encode_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), results=results)
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

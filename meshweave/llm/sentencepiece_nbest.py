@@ -223,6 +223,11 @@ class Lattice:
         text = raw.tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def same_bytes(self, ids: np.ndarray, changes: list[tuple[int, int, tuple[int, ...]]]) -> bool:
+        """Whether every change of :meth:`encode` has the bytes of what it replaces."""
+        raw = lambda some: b"".join(self.byte_pool[self.byte_starts[i] : self.byte_starts[i] + self.byte_sizes[i]].tobytes() for i in some)
+        return all(raw(ids[begin:end].tolist()) == raw(other) for begin, end, other in changes)
+
 
 def changed(ids: np.ndarray, changes: list[tuple[int, int, tuple[int, ...]]]) -> np.ndarray:
     """``ids`` with (from, to, ids) in place of what they have there."""
@@ -238,39 +243,55 @@ def _lattice(path: str) -> Lattice:
     return Lattice.load(path)
 
 
-def encode_nbest(df: DataFrame, path: str, n: int = 4, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """(*keep, ids, n_pieces, scores, nbest_sha256, decoded_equal) for every row of ``df``, in one pass without a shuffle.
+#: What :func:`encode_nbest` gives, with its types.
+RESULTS = {"ids": "array<int>", "n_pieces": "long", "scores": "array<double>", "nbest": "array<array<int>>", "nbest_sha256": "array<string>", "decoded_equal": "boolean"}
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([len(x) for x in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends].astype(np.int32)), pa.array(np.concatenate(arrays).astype(np.int32, copy=False) if arrays else np.zeros(0, np.int32)))
 
-    ids: the best segmentation. scores and nbest_sha256: of the ``n`` best, from the best
-    down, the digests being of the ids as little-endian 32-bit integers. decoded_equal:
-    whether the ids decode to the text; only a U+2581 of the text itself is lost, which the
-    model can't tell from a blank. A null or empty text has one segmentation without pieces,
-    with score 0. Nulls in ``keep`` and repeated rows stay; other columns are not read.
+
+def encode_nbest(df: DataFrame, path: str, n: int = 4, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", results: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
+    """(*keep, *results) for every row of ``df``, in one pass without a shuffle.
+
+    ids: the best segmentation. scores, nbest and nbest_sha256: of the ``n`` best, from the
+    best down, nbest being their ids and the digests those of the ids as little-endian
+    32-bit integers. decoded_equal: whether the ids of all ``n`` decode to the text; only a
+    U+2581 of the text itself is lost, which the model can't tell from a blank. A null or
+    empty text has one segmentation without pieces, with score 0. Nulls in ``keep`` and
+    repeated rows stay; other columns are not read.
     """
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    names = [*keep, "ids", "n_pieces", "scores", "nbest_sha256", "decoded_equal"]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {RESULTS[c]}" for c in results)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                best, scores, digests, equal = [], [], [], []
+                best, scores, every, digests, equal = [], [], [], [], []
                 for value in part.column(len(keep)):
                     text = value.as_py() or ""
                     ids, totals, differences = lattice.encode(text, n)
+                    found = [changed(ids, d) for d in differences]
                     best.append(ids)
                     scores.append(totals)
-                    digests.append([hashlib.sha256(changed(ids, d).astype("<i4").tobytes()).hexdigest() for d in differences])
-                    equal.append(lattice.decode(ids) == text)
-                sizes = np.array([len(x) for x in best], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(best) if best else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], lists, pa.array(sizes), pa.array(scores, pa.list_(pa.float64())), pa.array(digests, pa.list_(pa.string())), pa.array(equal, pa.bool_())],
-                    names,
-                )
-
-    return df.select(*keep, text_col).mapInArrow(run, f"{schema}, ids array<int>, n_pieces long, scores array<double>, nbest_sha256 array<string>, decoded_equal boolean")
+                    if "nbest" in results:
+                        every += found
+                    if "nbest_sha256" in results:
+                        digests.append([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found])
+                    equal.append(lattice.decode(ids) == text and all(lattice.same_bytes(ids, d) or lattice.decode(x) == text for x, d in zip(found, differences)))
+                made = {
+                    "ids": lambda: _lists(best),
+                    "n_pieces": lambda: pa.array([len(x) for x in best], pa.int64()),
+                    "scores": lambda: pa.array(scores, pa.list_(pa.float64())),
+                    "nbest": lambda: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, scores)]).astype(np.int32)), _lists(every)),
+                    "nbest_sha256": lambda: pa.array(digests, pa.list_(pa.string())),
+                    "decoded_equal": lambda: pa.array(equal, pa.bool_()),
+                }
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(made[c]() for c in results)], [*keep, *results])
+
+    return df.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:

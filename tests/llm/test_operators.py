@@ -63,6 +63,18 @@ def test_nbest(docs, empty):
     assert sentencepiece_nbest.encode_nbest(empty, MODEL).count() == 0
 
 
+def test_nbest_segmentations_are_kept_and_decode(docs):
+    out = sentencepiece_nbest.encode_nbest(docs, MODEL, 3)
+    rows = out.collect()
+    assert all(r.nbest[0] == r.ids and [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in r.nbest] == r.nbest_sha256 for r in rows)
+    assert any(len(r.nbest) == 3 for r in rows)
+    each = out.select("doc_id", F.explode("nbest").alias("ids"))
+    texts = {}
+    for i, t in TEXTS:
+        texts.setdefault(i, set()).add(t or "")
+    assert all(r.text in texts[r.doc_id] for r in sentencepiece_nbest.decode(each, MODEL).collect())
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (0, 0), (5, 0), (None, 1), (7, None), (12, 1), (8, 1)], "doc_id long, quality int")
     rows = quality_qda.classify(docs, labels).collect()
