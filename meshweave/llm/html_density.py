@@ -4,8 +4,9 @@ Every node of the page's tree gets its characters per tag, adjusted by the share
 characters and tags that links hold. The subtree whose children's densities have the
 greatest sum is the content; the least density on its path to the body is the threshold
 that other subtrees must reach. Whatever is a menu, header, footer, side bar, notice,
-advert, form, script, style or reader comment by its element, role or class is no part
-of the tree.
+advert, script, style or reader comment by its element or role is no part of the tree;
+nor is what is one by its class or id, or a form, unless it holds most of the page's text
+outside links, a main element or the longest article.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 # Elements by their role in a page.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | frozenset("nav footer aside form button select option optgroup datalist label fieldset legend dialog menu head svg math canvas object audio video map".split())
+DROPPED = RAW | frozenset("nav footer aside button select option optgroup datalist label fieldset legend dialog menu head svg math canvas object audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -30,6 +31,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
     r"|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|pager|pagination|header|masthead|topbar|footer|footnotes|copyright|sidebar|side|aside|widget|related|recommended|share|sharing|social|toolbar|comment|comments|commentlist|respond|replies|disqus|skip)(?:$|[\s_-])"
 )
+#: The header of a post holds its headline.
+POST_HEADER = re.compile(r"(?:^|(?<=\s))(?:post|entry|article|story)[_-]+header(?=$|\s)")
 #: An open element of the first kind ends when one of the second kind begins.
 ENDS = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 #: What such an implied end doesn't reach across.
@@ -45,10 +48,15 @@ END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 class Node:
     """An element: its children and texts in order, and what its subtree holds."""
 
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "out", "doubted", "article", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.parts, self.out = tag, parent, [], out
+    def __init__(self, tag: str, parent: Node | None, out: bool, doubted: bool = False, article: bool = False):
+        self.tag, self.parent, self.parts, self.out, self.doubted, self.article = tag, parent, [], out, doubted, article
+
+
+def _is_named(attributes: str) -> bool:
+    """Whether a word of the class or id is one of NAMES; the header of a post is none."""
+    return any(name.lower() in ("class", "id") and NAMES.search(POST_HEADER.sub(" ", "".join(values).lower())) for name, *values in ATTRIBUTE.findall(attributes))
 
 
 def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -63,11 +71,38 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(value):
-            return True
     return False
 
 
+def _settle(root: Node) -> None:
+    """Take out the elements that are doubted by name or as forms, but those that hold most of the page's text outside links, a main, or its longest article."""
+    nodes, inside = [], [(root, False)]
+    while inside:
+        node, linked = inside.pop()
+        linked = linked or node.tag == "a"
+        nodes.append(node)
+        node.plain = 0 if linked else sum(len(x) - x.count(" ") - x.count("\n") for x in node.parts if type(x) is str)
+        inside += [(x, linked) for x in node.parts if type(x) is not str and not x.out]
+    if not any(n.doubted for n in nodes):
+        return
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.plain += node.plain
+    held = {id(n) for n in nodes if n.tag == "main"}
+    longest = max((n for n in nodes if n.article), key=lambda n: n.plain, default=None)
+    held |= {id(longest)} if longest is not None else set()
+    around = set()
+    for node in reversed(nodes):
+        if (id(node) in held or id(node) in around) and node.parent is not None and id(node.parent) not in held:
+            around.add(id(node.parent))
+    own, held = held, held | around
+    within = set(own)  # beside a main or an article, most of the text is no evidence
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        node.out = node.doubted and id(node) not in held and (2 * node.plain <= root.plain or bool(held) and id(node) not in within)
+
+
 def parse(page: str) -> Node:
     """The tree of ``page``; elements left open end where their parents do."""
     root = node = Node("body", None, False)
@@ -78,6 +113,7 @@ def parse(page: str) -> Node:
         if m is None:
             if at < len(page):
                 node.parts.append(page[at:])
+            _settle(root)
             return root
         if m.start() > at:
             node.parts.append(page[at : m.start()])
@@ -111,7 +147,8 @@ def parse(page: str) -> Node:
             node = up = up.parent
             while up is not root and up.tag not in ENDS and up.tag not in WALLS:
                 up = up.parent
-        new = Node(tag, node, node.out or _is_dropped(tag, m[3], articles > 0))
+        named = bool(m[3]) and not m[3].isspace() and _is_named(m[3])
+        new = Node(tag, node, node.out or _is_dropped(tag, m[3], articles > 0), tag == "form" or named and tag not in ("article", "main"), tag == "article" and not named)
         node.parts.append(new)
         if tag in RAW:
             end = END[tag].search(page, at)
@@ -180,28 +217,17 @@ def content(root: Node) -> list[Node]:
         return [root]
     path = path[path.index(best) :]
     threshold = min(n.density for n in path[:-1])
-    if whole:  # other articles beside it, such as the parts of a long one
-        return [n for n in nodes if n is best or n.tag in ("article", "main") and n.density >= threshold and not _under(n, ("article", "main"))]
     kept, inside = [], set(map(id, path))
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is best:
+        if node is best or id(node) not in inside and node.chars and node.density >= threshold and (node.parent is None or id(node.parent) in inside or node.tag in ("article", "main")):
             kept.append(node)
-        elif id(node) in inside:
+        elif id(node) in inside or whole:  # in what is too thin itself, other articles, such as the parts of a long one
             todo += [x for x in reversed(node.parts) if type(x) is not str and not x.out]
-        elif node.chars and node.density >= threshold:
-            kept.append(node)
     return kept
 
 
-def _under(node: Node, tags: tuple[str, ...]) -> bool:
-    while (node := node.parent) is not None:
-        if node.tag in tags:
-            return True
-    return False
-
-
 def blocks(node: Node) -> Iterator[str]:
     """Texts of the subtree's blocks in page order, references decoded, white space folded."""
     held: list[str] = []

@@ -238,6 +238,23 @@ def test_pages(spark):
     assert html_density.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'>{}</div>", "<div id='content' class='with-comments widget'>{}</div>", "<form>{}</form>", "<div class='notice share'><article>{}</article></div>",
+    "<div><div class='post-header'></div>{}</div>",
+])
+def test_text_inside_doubtful_names_stays(page):
+    body = "".join(f"<p>Sentence {k} of an article that is long enough to be the text of its page.</p>" for k in range(8))
+    menu = "<div class='sidebar'><a href='/a'>First</a> <a href='/b'>Second</a> a few words</div>"
+    text = html_density.main_text(menu + page.format(body))
+    assert text.count("Sentence") == 8 and "few words" not in text
+
+
+def test_headline_and_text_beside_an_article_stay():
+    body = "".join(f"<p>Sentence {k} of an article that is long enough to be the text of its page.</p>" for k in range(8))
+    assert "Headline" in html_density.main_text(f"<article><div class='post-header'><h1>Headline of it</h1></div>{body}</article>")
+    assert html_density.main_text(f"<article>{body}</article><section>{body}</section>").count("Sentence") == 16
+
+
 def test_fixity(spark, monkeypatch):
     monkeypatch.setattr(merkle_warc, "FILE_RECORDS", 100)
     rows = [(i, f"http://a/{i}" if i % 3 else None, f"<p>{i}</p>" * (i % 5) if i % 7 else None) for i in range(400)] + [(None, "u", "h"), (101, "u", "h")]
