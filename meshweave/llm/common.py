@@ -12,22 +12,24 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset on a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="meshweave-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshweave/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")  # nothing reads the shuffle files of this query once it is written
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

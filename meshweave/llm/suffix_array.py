@@ -2,37 +2,40 @@
 
 A string of ``min_len`` bytes holds ``min_len - GRAM + 1`` grams; the least by hash is its
 anchor, so equal strings have equal anchors at equal places. An anchor and the bytes of
-all strings that it stands for are its context. Contexts are dealt by anchor, equal ones
-collapse into one with their smallest document, and the different ones of each anchor
-get a positional Burrows-Wheeler transform: at every column the contexts in the order of
-what follows, led to the next column on the left by their preceding bytes. Common
-prefixes are derived on it breadth first, the shortest first, up to ``min_len``; where
-the value is reached, an interval of contexts has the string in common, and its smallest
-document tells which of the others lose it.
+all strings that it stands for are its context. Grams that several documents have bring
+their contexts, as bytes, to one place, where the different ones of each gram get a
+positional Burrows-Wheeler transform: at every column the contexts in the order of what
+follows, led to the next column on the left by their preceding bytes. Common prefixes are
+derived on it breadth first, the shortest first, up to ``min_len``; where the value is
+reached, an interval of contexts has the string in common, and its smallest document tells
+which of the others lose it. Hashes only bring contexts together; bytes decide.
+
+A gram with many rows is split: its equal contexts collapse where they lie, and different
+ones are dealt by ever longer bytes around the gram, one deal for each range of places
+that a string may have, until the groups are small.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 GRAM = 16
-#: Bytes of text hashed at once, contexts compared at once, anchors of one gram held at once.
-TEXT_BLOCK, CONTEXT_BLOCK, GRAM_BLOCK = 1 << 18, 1 << 14, 1 << 21
-#: Bits of a context's hash; the rest of its word holds its first and last string's distance from the anchor.
-HASH_BITS = 52
+#: Bytes of text hashed at once, contexts compared at once, and the rows from which a gram is split.
+TEXT_BLOCK, CONTEXT_BLOCK, HOT_ROWS = 1 << 18, 1 << 14, 1 << 12
+#: Turns of a periodic run that one row stands for.
+TURNS = 1 << 18
 
 _random = np.random.default_rng(16)
-_BYTES = _random.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_ODD = [np.uint64(int(x) | 1) for x in _random.integers(0, 1 << 63, 8)]
+_BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = [np.uint64(int(x) | 1) for x in _random.integers(0, 1 << 63, 6)]
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -41,30 +44,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, 2 ** bits of each."""
-    base = int(_ODD[6])
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(1 << bits, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def anchors(data: np.ndarray, ends: np.ndarray, min_len: int) -> dict[str, np.ndarray]:
     """The anchors in texts that are joined in ``data`` and end at ``ends``.
 
-    Returns for each its gram's hash, its context's word, its text, its place in the text,
-    and how many such contexts follow each other there: in a periodic run the next one is
-    as far away as the context has strings.
+    Returns for each its gram's hash, its shape (64 times the first string's distance before
+    it, plus the last one's), its text, its place in the text, and how many equal contexts
+    follow each other there: in a periodic run the next one is as far away as the context
+    has strings.
     """
     span = min_len - GRAM + 1
-    none = {k: np.zeros(0, np.int64) for k in ("gram", "word", "text", "at", "runs")}
+    none = {k: np.zeros(0, np.int64) for k in ("gram", "shape", "text", "at", "runs")}
     if len(data) < min_len:
         return none
-    h = _BYTES[0][data]
+    h = _BYTES[data]
     for k, step in enumerate((1, 2, 4, 8)):
         h = h[:-step] * _ODD[k] + h[step:]
     h = _mixed(h)
@@ -84,15 +76,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, min_len: int) -> dict[str, np.nd
     place = (low[ok] & _LOW).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     first, last, at = ok[cut], ok[np.r_[cut[1:], len(ok)] - 1], place[cut]
-    up, down = _powers(max(18, int(len(data)).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[1][data] * up[: len(data)])]
-    inside = _mixed((sums[last + min_len] - sums[first]) * down[first])
-    before, after = at - first, at - last
-    word = ((inside >> np.uint64(64 - HASH_BITS)) << np.uint64(64 - HASH_BITS)) | (before.astype(np.uint64) << np.uint64(6)) | after.astype(np.uint64)
-    gram, owner = h[at], text[first]
-    same = np.r_[False, (word[1:] == word[:-1]) & (gram[1:] == gram[:-1]) & (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] == before[1:] - after[1:] + 1)]
-    lead = np.flatnonzero(~same)
-    return {"gram": gram[lead].view(np.int64), "word": word[lead].view(np.int64), "text": owner[lead], "at": at[lead] - starts[owner[lead]], "runs": np.diff(np.r_[lead, len(at)])}
+    shape, gram, owner = (at - first) << 6 | (at - last), h[at], text[first]
+    step = last - first + 1
+    same = np.flatnonzero((shape[1:] == shape[:-1]) & (gram[1:] == gram[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(at) == step[1:])) + 1
+    for some in np.array_split(same, len(same) // 65536 + 1):  # the bytes tell whether it is a run
+        size = step[some] + min_len - 1
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        here = np.repeat(first[some], size) + inner
+        differs = np.bincount(np.repeat(np.arange(len(some)), size), data[here] != data[here - np.repeat(step[some], size)], len(some))
+        owner[some] += np.where(differs == 0, len(ends), 0)  # marks a follower
+    lead = np.flatnonzero(owner < len(ends))
+    return {"gram": gram[lead].view(np.int64), "shape": shape[lead], "text": owner[lead], "at": at[lead] - starts[owner[lead]], "runs": np.diff(np.r_[lead, len(at)])}
 
 
 def common_minima(bytes_: np.ndarray, groups: np.ndarray, least: np.ndarray, min_len: int) -> np.ndarray:
@@ -141,228 +135,280 @@ def common_minima(bytes_: np.ndarray, groups: np.ndarray, least: np.ndarray, min
     return out
 
 
-def bounded_minima(bytes_: np.ndarray, groups: np.ndarray, least: np.ndarray, min_len: int) -> np.ndarray:
-    """:func:`common_minima` in blocks of whole groups. A group over a block is dealt, for one
-    start after the other, by a hash of the string there, so equal strings stay together."""
-    n, columns = bytes_.shape
-    width = columns - min_len + 1
-    heads = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if n else np.zeros(0, np.int64)
-    tails = np.r_[heads[1:], n]
-    out = np.repeat(least[:, None], width, 1)
-    i = 0
-    while i < len(heads):
-        a = heads[i]
-        j = max(i + 1, int(np.searchsorted(tails, a + CONTEXT_BLOCK, "right")))
-        b = tails[j - 1]
-        if b - a <= CONTEXT_BLOCK:
-            out[a:b] = common_minima(bytes_[a:b], groups[a:b], least[a:b], min_len)
-        else:
-            for p in range(width):
-                part = bytes_[a:b, p : p + min_len]
-                h = np.zeros(b - a, np.uint64)
-                for c in range(min_len):
-                    h = h * _ODD[7] + part[:, c].astype(np.uint64)
-                h = _mixed(h)
-                rows = np.argsort(h, kind="stable")
-                same = np.flatnonzero(np.r_[True, h[rows][1:] != h[rows][:-1]])
-                ends = np.r_[same[1:], b - a]
-                k = 0
-                while k < len(same):
-                    m = max(k + 1, int(np.searchsorted(ends, same[k] + CONTEXT_BLOCK, "right")))
-                    some = rows[same[k] : ends[m - 1]]
-                    out[a + some, p] = common_minima(part[some], h[some], least[a + some], min_len)[:, 0]
-                    k = m
-        i = j
-    return out
-
-
-def _tag(raw: bytes) -> int:
-    """16 bits of a text, to tell texts apart that share an id."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "big")
-
-
 def _places(texts: DataFrame, min_len: int) -> DataFrame:
-    """(gram, word, doc, spot) for every anchor; spot: place, tag of the text, and runs in 32, 16 and 16 bits."""
+    """(gram, doc, row, at, shape, flag) for every anchor of ``texts(doc_id, row, text)``.
 
-    def emit(raws: list[bytes], ids: list[int]) -> pa.RecordBatch:
+    shape: of :func:`anchors`, plus 4096 times the turns of a run. flag: 0 where the block of
+    texts at hand tells nothing about the gram; of a gram that several documents in the block
+    have, 1 for its first row, the witness that tells the other blocks, and 2 for the others.
+    """
+    names = ["gram", "doc", "row", "at", "shape", "flag"]
+
+    def emit(raws: list[bytes], ids: list[int], rows: list[int]) -> pa.RecordBatch:
         found = anchors(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws]), min_len)
-        tags = np.array([_tag(r) for r in raws], np.int64)
-        runs, which = found["runs"], np.arange(len(found["runs"]))
-        if (runs > 0xFFFF).any():  # the next part of a long run begins where this one ends
-            parts = -(-runs // 0xFFFF)
-            which = np.repeat(which, parts)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-            word = found["word"][which]
-            found["at"] = found["at"][which] + nth * 0xFFFF * ((word >> 6 & 63) - (word & 63) + 1)
-            runs = np.minimum(runs[which] - nth * 0xFFFF, 0xFFFF)
-        text = found["text"][which]
-        spot = (found["at"] << 32) | (tags[text] << 16) | runs
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (found["gram"][which], found["word"][which], np.array(ids, np.int64)[text], spot)], ["gram", "word", "doc", "spot"])
+        gram, at, runs, shape, which = found["gram"], found["at"], found["runs"], found["shape"], found["text"]
+        if (runs > TURNS).any():  # the next part of a long run begins where this one ends
+            parts = -(-runs // TURNS)
+            part = np.repeat(np.arange(len(runs)), parts)
+            nth = np.arange(len(part)) - np.repeat(np.cumsum(parts) - parts, parts)
+            gram, shape, which = gram[part], shape[part], which[part]
+            at = at[part] + nth * TURNS * ((shape >> 6) - (shape & 63) + 1)
+            runs = np.minimum(runs[part] - nth * TURNS, TURNS)
+        doc = np.array(ids, np.int64)[which]
+        order = np.lexsort((doc, gram))
+        gram, doc, which, at, shape = gram[order], doc[order], which[order], at[order], (runs << 12 | shape)[order]
+        flag = np.zeros(len(gram), np.int8)
+        if len(gram):
+            heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            tails = np.r_[heads[1:], len(gram)] - 1
+            flag = np.repeat(np.where(doc[heads] != doc[tails], 2, 0), tails - heads + 1).astype(np.int8)
+            flag[heads] //= 2
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((gram, doc, np.array(rows, np.int64)[which], at, shape, flag), types)], names)
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raws, ids, rows, size = [], [], [], 0
         for batch in batches:
-            raws, ids, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer()
-                if raw is None or raw.size < min_len:
-                    continue
                 raws.append(raw.to_pybytes())
                 ids.append(doc)
+                rows.append(row)
                 size += raw.size
                 if size >= TEXT_BLOCK:
-                    yield emit(raws, ids)
-                    raws, ids, size = [], [], 0
-            if raws:
-                yield emit(raws, ids)
+                    yield emit(raws, ids, rows)
+                    raws, ids, rows, size = [], [], [], 0
+        if raws:
+            yield emit(raws, ids, rows)
 
-    return texts.where("doc_id is not null and octet_length(text) >= " + str(min_len)).select("doc_id", "text").mapInArrow(run, "gram long, word long, doc long, spot long")
+    long_enough = texts.where(f"doc_id is not null and octet_length(text) >= {min_len}")
+    return long_enough.select("doc_id", "row", "text").mapInArrow(run, "gram long, doc long, row long, at int, shape int, flag byte")
 
 
 def _shared(places: DataFrame) -> DataFrame:
-    """Anchors whose gram is in several documents, with what their equal contexts have in common.
+    """The anchors whose gram is in several documents.
 
-    Adds least (the smallest document with an equal context), many (whether the gram has
-    other contexts) and chosen (one row of each context). Reads rows sorted by gram, word
-    and doc, and holds a gram's at once; one with over GRAM_BLOCK rows is taken in pieces,
-    which count as shared and as having other contexts: that only means more to compare.
+    What its block already knows to be shared is dealt by itself; witnesses and the rest meet
+    by gram, so a gram brings a row or so for each block that has it often. Of sorted rows
+    only those of a gram that has shown one document so far are held.
     """
-
-    def judge(gram: np.ndarray, word: np.ndarray, doc: np.ndarray, spot: np.ndarray, piece: bool) -> pa.RecordBatch:
-        n = len(gram)
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new_word = new_gram | np.r_[True, word[1:] != word[:-1]]
-        heads, words = np.flatnonzero(new_gram), np.flatnonzero(new_word)
-        low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-        contexts = np.add.reduceat(new_word.astype(np.int64), heads)
-        sizes = np.diff(np.r_[heads, n])
-        shared = np.repeat((low != high) | piece, sizes)
-        many = np.repeat((contexts > 1) | piece, sizes)
-        least = np.repeat(np.minimum.reduceat(doc, words), np.diff(np.r_[words, n]))
-        keep = shared & (many | (doc > least))
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, word, doc, spot, least, many, new_word)], ["gram", "word", "doc", "spot", "least", "many", "chosen"])
+    names = ["gram", "doc", "row", "at", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, piece = None, False
+        held: pa.Table | None = None
+        shared_gram = None
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = [np.concatenate(x) for x in zip(held, new)] if held else new
-            if not len(held[0]):
+            known = batch.column(5).to_numpy() == 2
+            if known.any():
+                yield batch.filter(pa.array(known)).select(names)
+                batch = batch.filter(pa.array(~known))
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                if piece:  # the rest of a gram that was cut
-                    first = int(np.searchsorted(held[0], held[0][0], "right"))
-                    yield judge(*(x[:first] for x in held), True)
-                    held, last = [x[first:] for x in held], last - first
-                if last:
-                    yield judge(*(x[:last] for x in held), False)
-                held, piece = [x[last:] for x in held], False
-            elif len(held[0]) > GRAM_BLOCK:
-                same = int(np.searchsorted(held[1], held[1][-1]))  # words are sorted within a gram
-                if same:
-                    yield judge(*(x[:same] for x in held), True)
-                    held, piece = [x[same:] for x in held], True
-        if held and len(held[0]):
-            if piece:
-                first = int(np.searchsorted(held[0], held[0][0], "right"))
-                yield judge(*(x[:first] for x in held), True)
-                held = [x[first:] for x in held]
-            if len(held[0]):
-                yield judge(*held, False)
-
-    dealt = places.repartition("gram").sortWithinPartitions("gram", "word", "doc")
-    return dealt.mapInArrow(run, "gram long, word long, doc long, spot long, least long, many boolean, chosen boolean")
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            gram, doc, flag = (table.column(i).to_numpy() for i in (0, 1, 5))
+            heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            tails = np.r_[heads[1:], len(gram)]
+            several = (doc[heads] != doc[tails - 1]) | (np.maximum.reduceat(flag, heads) > 0) | ((gram[heads] == shared_gram) if shared_gram is not None else False)
+            keep = np.repeat(several, tails - heads)
+            if keep.any():
+                yield from table.filter(pa.array(keep)).select(names).combine_chunks().to_batches()
+            shared_gram = gram[-1] if several[-1] else None
+            held = None if several[-1] else table.slice(int(heads[-1]))
+
+    apart = F.when(F.col("flag") == 2, F.xxhash64("gram", "doc", "row", "at")).otherwise(F.col("gram"))
+    return places.repartition(apart).sortWithinPartitions("gram", "doc").mapInArrow(run, "gram long, doc long, row long, at int, shape int")
 
 
 def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
-    """(gram, word, least, context) of every chosen row with other contexts: its bytes."""
+    """``shared`` with the context of every row: texts and rows meet by document, each text before its rows."""
+    names = ["gram", "doc", "row", "at", "shape", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = np.zeros(0, np.uint8)
         for batch in batches:
-            out = [], [], [], []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw, fields = text.as_buffer().to_pybytes(), wanted.values
-                tag = _tag(raw)
-                for gram, word, spot in zip(*(fields.field(i).to_pylist() for i in range(3))):
-                    at = spot >> 32
-                    if spot >> 16 & 0xFFFF == tag:
-                        out[0].append(gram)
-                        out[1].append(word)
-                        out[2].append(doc)
-                        out[3].append(raw[at - (word >> 6 & 63) : at - (word & 63) + min_len])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["gram", "word", "least", "context"])
-
-    wanted = shared.where("many and chosen").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("gram", "word", "spot")).alias("wanted"))
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "gram long, word long, least long, context binary")
-
-
-def _minima(contexts: DataFrame, min_len: int) -> DataFrame:
-    """(gram, word, first, last, least): for each distinct context, runs of its strings' starts
-    (as distances before the anchor, from first down to last) that have one smallest document."""
+            text, at, shape = batch.column(5), batch.column(3), batch.column(4)
+            is_text = at.is_null().to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            data = np.concatenate([carried, raw])
+            base = np.where(is_text, ends[:-1] - ends[0] + len(carried), 0)
+            base = np.maximum.accumulate(base)  # of the text above; 0 is the one that was carried over
+            rows = np.flatnonzero(~is_text)
+            if len(rows):
+                place, form = at.take(pa.array(rows)).to_numpy().astype(np.int64), shape.take(pa.array(rows)).to_numpy()
+                before, after = form >> 6 & 63, form & 63
+                size = (before - after + min_len).astype(np.int64)
+                bounds = np.r_[0, np.cumsum(size)]
+                inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+                found = data[np.repeat(base[rows] + place - before, size) + inner]
+                context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(5)), context], names)
+            if is_text.any():
+                last = int(np.flatnonzero(is_text)[-1])
+                carried = raw[ends[last] - ends[0] : ends[last + 1] - ends[0]].copy()
+
+    null = F.lit(None)
+    asked = shared.select("doc", "row").distinct()
+    wanted = texts.join(asked, (texts["doc_id"] == asked["doc"]) & (texts["row"] == asked["row"]), "left_semi")
+    wanted = wanted.select(null.cast("long").alias("gram"), F.col("doc_id").alias("doc"), "row", null.cast("int").alias("at"), null.cast("int").alias("shape"), "text")
+    both = wanted.union(shared.select("gram", "doc", "row", "at", "shape", null.cast("string")))
+    met = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("at").asc_nulls_first())
+    return met.mapInArrow(run, "gram long, doc long, row long, at int, shape int, context binary")
+
+
+def _common(context: pa.Array, group: np.ndarray, before: np.ndarray, after: np.ndarray, least: np.ndarray, a: int, b: int, min_len: int) -> tuple[np.ndarray, ...]:
+    """(which, first, last, least): runs of the strings that begin between b and a bytes before the anchor, and lie in their
+    context, that have one smallest document among the contexts of their group."""
     left = min_len - GRAM
-    columns = 2 * left + GRAM
-    names = ["gram", "word", "first", "last", "least"]
-
-    def judge(gram: np.ndarray, word: np.ndarray, least: np.ndarray, context: pa.Array) -> pa.RecordBatch:
-        order = np.lexsort((least, word, gram))
-        new = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (word[order][1:] != word[order][:-1])]
-        rows = order[new]
-        gram, word, least = gram[rows], word[rows], least[rows]
-        before, after = word >> 6 & 63, word & 63
-        picked = context.take(pa.array(rows))
-        flat = np.frombuffer(picked.buffers()[2], np.uint8)
-        bounds = np.frombuffer(picked.buffers()[1], np.int32)[picked.offset : picked.offset + len(rows) + 1].astype(np.int64)
-        sizes = np.diff(bounds)
-        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        table = np.zeros((len(rows), columns), np.uint16)
-        table[np.repeat(np.arange(len(rows)), sizes), np.repeat(left - before, sizes) + inner] = flat[bounds[0] : bounds[-1]].astype(np.uint16) + 1
-        low = bounded_minima(table, gram, least, min_len)
-        column = np.arange(left + 1)
-        own = (column >= (left - before)[:, None]) & (column <= (left - after)[:, None])
-        start = own & np.pad(~own[:, :-1] | (low[:, 1:] != low[:, :-1]), ((0, 0), (1, 0)), constant_values=True)
-        end = own & np.pad(~own[:, 1:] | (low[:, 1:] != low[:, :-1]), ((0, 0), (0, 1)), constant_values=True)
-        (who, first), (_, last) = np.nonzero(start), np.nonzero(end)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[who], word[who], left - first, left - last, low[who, first])], names)
+    bounds = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+    flat, size = np.frombuffer(context.buffers()[2], np.uint8), np.diff(bounds)
+    table = np.zeros((len(context), 2 * left + GRAM), np.uint16)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    table[np.repeat(np.arange(len(size)), size), np.repeat(left - before, size) + inner] = flat[bounds[0] : bounds[-1]].astype(np.uint16) + 1
+    low = common_minima(table[:, left - b : left - a + min_len], group, least, min_len)
+    distance = b - np.arange(b - a + 1)
+    own = (distance <= before[:, None]) & (distance >= after[:, None])
+    start = own & np.pad(~own[:, :-1] | (low[:, 1:] != low[:, :-1]), ((0, 0), (1, 0)), constant_values=True)
+    end = own & np.pad(~own[:, 1:] | (low[:, 1:] != low[:, :-1]), ((0, 0), (0, 1)), constant_values=True)
+    (which, first), (_, last) = np.nonzero(start), np.nonzero(end)
+    return which, b - first, b - last, low[which, first]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches joined and cut between values of their first column, from ``size`` rows on."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < size:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table.column(0).to_numpy()
+        at = int(np.searchsorted(key, key[-1]))
+        if at:
+            yield table.slice(0, at).combine_chunks().to_batches()[0]
+        held = table.slice(at).combine_chunks().to_batches()
+        rows -= at
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _lost(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(doc, row, start, end) of lost bytes, from all rows of ``contexts`` of grams with a bounded number of them."""
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gram, doc, row, at, shape = (batch.column(i).to_numpy() for i in range(5))
+        before, after, turns = shape >> 6 & 63, shape & 63, (shape >> 12).astype(np.int64)
+        codes = batch.column(5).dictionary_encode().indices.to_numpy().astype(np.int64)
+        group = np.cumsum(np.r_[False, gram[1:] != gram[:-1]])
+        key = (group * len(codes) + codes) * 64 + before
+        order = np.lexsort((doc, key))
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        one = order[new]  # of each different context the row of its smallest document
+        which, first, last, low = _common(batch.column(5).take(pa.array(one)), group[one], before[one], after[one], doc[one], 0, min_len - GRAM, min_len)
+        # All rows of a context meet its runs.
+        many, place = np.bincount(which, minlength=len(one)), np.empty(len(key), np.int64)
+        place[order] = np.cumsum(new) - 1
+        start_of = np.cumsum(many) - many
+        rows = np.repeat(np.arange(len(key)), many[place])
+        run = np.repeat(start_of[place], many[place]) + np.arange(len(rows)) - np.repeat(np.cumsum(many[place]) - many[place], many[place])
+        hit = low[run] < doc[rows]
+        rows, run = rows[hit], run[hit]
+        # A periodic run that is lost whole is lost in one piece, else turn by turn.
+        whole = (first[run] == before[rows]) & (last[run] == after[rows])
+        each = np.where(whole, 1, turns[rows])
+        turn = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        more = np.repeat(np.where(whole, turns[rows] - 1, 0), each)
+        rows, run = np.repeat(rows, each), np.repeat(run, each)
+        step = (before - after + 1)[rows].astype(np.int64)
+        start, end = at[rows] - first[run] + turn * step, at[rows] - last[run] + min_len + (turn + more) * step
+        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(row[rows]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc", "row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for batch in _whole_groups((b for b in batches if b.num_rows), CONTEXT_BLOCK):
+            yield judge(batch)
 
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            whole = table.combine_chunks().to_batches()[0]
-            return judge(*(whole.column(i).to_numpy(zero_copy_only=False) for i in range(3)), whole.column(3))
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, row long, start int, end int")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CONTEXT_BLOCK and held[0].column(0)[0] != batch.column(0)[-1]:
-                table = pa.Table.from_batches(held)
-                grams = table.column(0).to_numpy()
-                at = int(np.searchsorted(grams, grams[-1]))
-                yield flush(table.slice(0, at))
-                held = table.slice(at).combine_chunks().to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, word long, first long, last long, least long")
-
-
-def repeats(docs: DataFrame, min_len: int = 50) -> DataFrame:
-    """(doc_id, lost) for documents that lose bytes; lost: array of (tag, start, end) of ``docs(doc_id long, text)``."""
-    texts = docs.select("doc_id", "text")
+
+CONTEXT = ["gram", "before", "context"]
+
+
+def _hot_minima(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(gram, before, context, first, last, least): as :func:`_common`, for any number of ``contexts(gram, before, after, context, least, most)``.
+
+    A group of contexts may share strings that begin a to b bytes before the anchor; equal
+    ones agree in the a bytes before the gram and in the bytes behind it up to b bytes short
+    of their end. So a group over CONTEXT_BLOCK is dealt twice, for each half of its range,
+    by those bytes, and again, until it is small or the range is one place. There the group
+    is an interval of the transform that has reached ``min_len``: its minimum is taken.
+    """
+    left = min_len - GRAM
+    part = F.expr(f"substring(context, before - a + 1, a - b + {left + GRAM})")
+    after = F.expr(f"before + {min_len} - octet_length(context)")
+    names = [*CONTEXT, "first", "last", "least"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups((b for b in batches if b.num_rows), CONTEXT_BLOCK):
+            deal, a, b, gram, before, after, least = (batch.column(i).to_numpy() for i in range(7))
+            for x, y in set(zip(a.tolist(), b.tolist())):
+                rows = np.flatnonzero((a == x) & (b == y))
+                which, first, last, low = _common(batch.column(7).take(pa.array(rows)), np.cumsum(np.r_[0, deal[rows][1:] != deal[rows][:-1]]), before[rows], after[rows], least[rows], x, y, min_len)
+                hit = low < batch.column(8).to_numpy()[rows[which]]
+                which, first, last, low = rows[which[hit]], first[hit], last[hit], low[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[which]), pa.array(before[which]), batch.column(7).take(pa.array(which)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(low)], names)
+
+    ranges, out = contexts.withColumn("a", F.lit(0)).withColumn("b", F.lit(left)), None
+    while True:
+        dealt = written(ranges.withColumn("deal", F.xxhash64("gram", "a", "b", part)), "dealt")
+        big = written(dealt.groupBy("deal").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXT_BLOCK).select("deal"), "big")
+        small = dealt.join(big, "deal", "left_anti").select("deal", "a", "b", "gram", "before", after.cast("int").alias("after"), "least", "context", "most")
+        found = small.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "gram long, before int, context binary, first int, last int, least long")
+        out = found if out is None else out.union(found)
+        if big.isEmpty():
+            return out
+        rest = dealt.join(big, "deal", "left_semi").drop("deal")
+        alone = rest.where("a = b").withColumn("string", F.expr(f"substring(context, before - a + 1, {min_len})"))
+        lowest = alone.groupBy("a", "string").agg(F.min("least").alias("low"))
+        out = out.union(alone.join(lowest, ["a", "string"]).where("low < most").select(*CONTEXT, F.col("a").alias("first"), F.col("a").alias("last"), F.col("low").alias("least")))
+        halves = F.expr("explode(array(struct(a, cast(floor((a + b) / 2) as int) as b), struct(cast(floor((a + b) / 2) as int) + 1 as a, b)))")
+        ranges = rest.where("a < b").withColumn("half", halves).withColumn("a", F.col("half.a")).withColumn("b", F.col("half.b")).drop("half")
+        ranges = ranges.where(F.greatest(F.col("a"), after) <= F.least("b", "before"))
+
+
+def _hot_lost(contexts: DataFrame, min_len: int) -> DataFrame:
+    """(doc, row, start, end) as :func:`_lost`, for grams with any number of rows: equal contexts collapse before they move."""
+    rows = contexts.withColumn("before", F.expr("shape >> 6 & 63"))
+    distinct = rows.groupBy(*CONTEXT).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    minima = _hot_minima(distinct, min_len)
+    met = rows.join(minima, CONTEXT).where("least < doc").withColumn("after", F.expr("shape & 63")).withColumn("turns", F.expr("shape >> 12"))
+    whole = F.expr("first = before and last = after")  # then a periodic run is lost in one piece
+    met = met.withColumn("turn", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("turns") - 1))))
+    more = F.when(whole, F.col("turns") - 1).otherwise(F.lit(0))
+    step: Column = F.expr("before - after + 1")
+    return met.select("doc", "row", (F.col("at") - F.col("first") + F.col("turn") * step).alias("start"), (F.col("at") - F.col("last") + min_len + (F.col("turn") + more) * step).alias("end"))
+
+
+def repeats(texts: DataFrame, min_len: int = 50) -> DataFrame:
+    """(doc_id, row, lost) for the texts that lose bytes; lost: array of (start, end), which may overlap.
+
+    ``texts(doc_id long, row long, text string)`` has a hash of its text in row, by which rows
+    that share an id are told apart. Null ids and null texts have no part in it; equal rows
+    count once; an empty table gives none.
+    """
     shared = written(_shared(_places(texts, min_len)), "shared")
-    minima = written(_minima(_contexts(texts, shared, min_len), min_len), "minima")
-    # Every row of a context meets its runs: a join that may split a hot context.
-    met = shared.where("many").select("gram", "word", "doc", "spot").join(minima, ["gram", "word"]).where("least < doc")
-    whole = F.expr("first = (word >> 6 & 63) and last = (word & 63)")  # then a periodic run is lost in one piece
-    turns = F.expr("(spot & 65535) - 1")
-    met = met.withColumn("turn", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), turns))))
-    met = met.withColumn("more", F.when(whole, turns).otherwise(F.lit(0)))
-    tag, at, step = F.expr("spot >> 16 & 65535").alias("tag"), F.expr("spot >> 32"), F.expr("(word >> 6 & 63) - (word & 63) + 1")
-    compared = met.select("doc", tag, (at - F.col("first") + F.col("turn") * step).alias("start"), (at - F.col("last") + min_len + (F.col("turn") + F.col("more")) * step).alias("end"))
-    plain = shared.where("not many").select("doc", tag, (at - F.expr("word >> 6 & 63")).alias("start"), (at - F.expr("word & 63") + min_len + step * turns).alias("end"))
-    lost = compared.union(plain).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("lost"))
-    return lost
+    hot = written(shared.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("gram"), "hot")
+    contexts = written(_contexts(texts, shared, min_len), "contexts", "zstd")
+    dropped(shared)
+    if hot.isEmpty():
+        lost = written(_lost(contexts, min_len), "lost")
+    else:
+        cold = _lost(contexts.join(hot, "gram", "left_anti"), min_len)
+        lost = written(cold.union(_hot_lost(contexts.join(hot, "gram", "left_semi"), min_len)), "lost")
+    dropped(contexts, hot)
+    return lost.groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
 
 
 def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
@@ -379,46 +425,57 @@ def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes,
     return b"".join(parts), len(begin)
 
 
-def deduplicate(docs: DataFrame, min_len: int = 50, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
-    """(*keep, doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs(doc_id long, text)``.
-
-    Each byte covered by a string of ``min_len`` bytes that also starts in a document with a
-    smaller doc_id is removed; strings are those of the whole input, never across documents.
-    With ``text`` the kept bytes come instead of their digest, decoded, without a character
-    that has lost a part. A null text is ''; a row with a null id keeps its text and takes
-    from no other; rows that share an id don't take from each other; repeated rows give
-    repeated results; an empty table gives none; other columns are not read but for ``keep``.
-    """
+def _kept(docs: DataFrame, min_len: int, carried: list[str], text: bool) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, last, c0, c1, ...): last is the kept text or its digest, c0 ... the carried columns."""
     if not GRAM <= min_len <= GRAM + 63:
         raise ValueError(f"min_len must lie between {GRAM} and {GRAM + 63}")
-    shown = [c for c in docs.columns if c in keep and c not in ("doc_id", "text")]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *shown)
-    lost = repeats(texts, min_len)
-    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in shown)
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)]
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text", *own)
+    lost = repeats(texts.select("doc_id", "row", "text"), min_len)
+    types = "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_kept, spans, last = [], [], [], []
             for value, found in zip(batch.column(1), batch.column(2)):
-                raw = value.as_buffer().to_pybytes()
-                kept, n = raw, 0
-                if found.is_valid:
-                    tag, start, end = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                    mine = tag == _tag(raw)
-                    kept, n = kept_bytes(raw, start[mine], end[mine])
+                raw = value.as_buffer().to_pybytes() if value.is_valid else b""
+                kept, n = kept_bytes(raw, *(found.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))) if found.is_valid else (raw, 0)
                 n_bytes.append(len(raw))
                 n_kept.append(len(kept))
                 spans.append(n)
-                last.append(kept.decode("utf-8", "ignore") if text else hashlib.sha256(kept).hexdigest())
+                last.append((kept.decode("utf-8", "ignore") if value.is_valid else None) if text else hashlib.sha256(kept).hexdigest())
             removed = [a - b for a, b in zip(n_bytes, n_kept)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(last, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(last, pa.string()), *batch.columns[3:]], names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "last", *(f"c{k}" for k in range(len(carried)))]
+    joined = texts.join(lost, ["doc_id", "row"], "left").select("doc_id", "text", "lost", *names[5:])
+    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, last string{types}")
 
-    names = ["doc_id", *shown, "n_bytes", "n_removed", "n_spans", "text" if text else "kept_sha256"]
-    joined = texts.join(lost, "doc_id", "left").select("doc_id", "text", "lost", *shown)
-    return joined.mapInArrow(run, f"doc_id long, {types}n_bytes long, n_removed long, n_spans long, {names[-1]} string")
+
+def deduplicate(docs: DataFrame, min_len: int = 50) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs(doc_id long, text)``.
+
+    Each byte covered by a string of ``min_len`` bytes that also starts in a document with a
+    smaller doc_id is removed; strings are those of the whole input, never across documents.
+    A null text is ''; a row with a null id loses nothing and takes from no other; rows that
+    share an id don't take from each other, whatever their texts; repeated rows give repeated
+    results; ties don't arise, as only smaller ids take; an empty table gives none; texts may
+    have any length up to 2 GB; other columns are not read.
+    """
+    return _kept(docs, min_len, [], False).withColumnRenamed("last", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, min_len: int = 50) -> DataFrame:
-    """``docs(doc_id, text, n_chars, ...)`` with the kept text of each row and its length; a text that loses all its bytes is ''."""
-    out = deduplicate(docs, min_len, tuple(docs.columns), text=True)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """``docs(doc_id, text, ...)`` with the kept text of each row, and its length where there is a column n_chars.
+
+    Rows, nulls and ties are as for :func:`deduplicate`, but a null text stays null and its
+    n_chars what it was. A text that loses all its bytes is ''; a character that has lost a
+    part goes. All other columns stay, whatever their names.
+    """
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _kept(docs, min_len, carried, True)
+    columns = {c: F.col(f"c{k}") for k, c in enumerate(carried)} | {"doc_id": F.col("doc_id"), "text": F.col("last")}
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("last").isNull(), columns["n_chars"]).otherwise(F.length("last").cast(kind))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))

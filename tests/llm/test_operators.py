@@ -193,36 +193,63 @@ def test_schedule_is_inverted(spark, tilt):
     assert all(math.isclose(r.t + tilt * (r.t**2 - r.t), r.x, abs_tol=1e-9) and 0 <= r.t <= 1 for r in rows)
 
 
-def plain_dedup(rows, n=50):
+def plain_lost(rows, n=50):
+    """For each row its bytes and which of them are lost."""
     first = {}
     for d, t in rows:
         b = (t or "").encode()
         for i in range(len(b) - n + 1 if d is not None else 0):
             first[b[i : i + n]] = min(first.get(b[i : i + n], d), d)
-    out = []
     for d, t in rows:
         b = (t or "").encode()
-        lost = np.zeros(len(b) + 2, bool)
+        lost = np.zeros(len(b), bool)
         for i in range(len(b) - n + 1 if d is not None else 0):
             if first[b[i : i + n]] < d:
-                lost[i + 1 : i + 1 + n] = True
-        kept = bytes(x for x, gone in zip(b, lost[1:]) if not gone)
-        out.append((d, len(b), len(b) - len(kept), int((np.diff(lost.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return out
+                lost[i : i + n] = True
+        yield b, lost
+
+
+def plain_kept(rows, n=50):
+    return [bytes(np.frombuffer(b, np.uint8)[~lost]) for b, lost in plain_lost(rows, n)]
+
+
+def plain_dedup(rows, n=50):
+    return [(d, len(b), int(lost.sum()), int((np.diff(np.r_[0, lost.astype(int)]) == 1).sum()), hashlib.sha256(k).hexdigest()) for (d, _), (b, lost), k in zip(rows, plain_lost(rows, n), plain_kept(rows, n))]
 
 
-def test_repeats(spark, docs, empty):
+def odd_repeats():
+    """Rows with repeated ids, runs, rows without an id or a text, and many near the same strings."""
     rng = np.random.default_rng(0)
     base, run = "".join(rng.choice(list("ab"), 400)), "Is onhe. " * 60
     rows = [(int(i // 2) if i % 7 else None, base[a : a + b] + base[c : c + 60] + (run[:e] if i % 4 == 0 else "") + "é" * (i % 40) if i % 11 else None) for i in range(120) for a, b, c, e in [rng.integers(0, 300, 4)]]
     rows += [(5, "q" * 200), (6, "q" * 120), (7, "z" * 90_000), (9, "z" * 40_000 + "y"), (9, "z" * 40_000 + "y"), (9, "other " * 20)]
-    found = suffix_array.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(300, "263" * 30), (305, "263" * 30), (305, "480" * 30)]  # texts whose 16-bit digests were once equal
+    line = "a line that very many documents have, of more than fifty bytes, word by word"
+    rows += [(400 + k % 250, f"{rng.integers(1 << 40)} {line}{rng.integers(1 << 40)} {line[:40]}") for k in range(300)]
+    return rows
+
+
+@pytest.mark.parametrize("hot,block", [(1 << 12, 1 << 14), (8, 1 << 14), (8, 5), (1, 1)])
+def test_repeats(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(suffix_array, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix_array, "CONTEXT_BLOCK", block)
+    monkeypatch.setattr(suffix_array, "TURNS", 1000)
+    rows = odd_repeats()
+    found = suffix_array.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(key, found)) == sorted(map(key, plain_dedup(rows)))
-    assert suffix_array.deduplicate(empty).count() == 0
+
+
+def test_texts_without_repeats(spark, docs, empty):
+    assert suffix_array.deduplicate(empty).count() == 0 and suffix_array.without_repeats(empty).count() == 0
+    rows = odd_repeats() + [(1000, "ü" * 30 + "tail"), (1001, "xü" * 20 + "ü" * 30 + "x")]
+    found = suffix_array.without_repeats(spark.createDataFrame([(*r, 1, 2, "3") for r in rows], "doc_id long, text string, lost int, n_bytes int, c0 string")).collect()
+    expected = [(d, None if t is None else k.decode("utf-8", "ignore"), 1, 2, "3") for (d, t), k in zip(rows, plain_kept(rows))]
+    assert sorted(map(key, found)) == sorted(map(key, expected))
     kept = suffix_array.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
+    assert all(r.n_chars == (0 if r.text is None else len(r.text)) for r in kept.collect())
     by_id = {r.doc_id: r.text for r in kept.collect()}
-    assert by_id[0] == TEXTS[0][1] and by_id[3] == "" and by_id[12] != TEXTS[-1][1]
+    assert by_id[0] == TEXTS[0][1] and by_id[3] == "" and by_id[12] != TEXTS[-1][1] and by_id[1] is None
 
 
 def test_repeats_over_tables(spark):

@@ -176,8 +176,8 @@ def test_anchors_agree(texts):
     raws = [t.encode() for t in texts]
     found = suffix_array.anchors(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws]), 20)
     owner = {}
-    for gram, word, text, at, runs in zip(*(found[k].tolist() for k in ("gram", "word", "text", "at", "runs"))):
-        before, after = word >> 6 & 63, word & 63
+    for gram, shape, text, at, runs in zip(*(found[k].tolist() for k in ("gram", "shape", "text", "at", "runs"))):
+        before, after = shape >> 6, shape & 63
         for k in range(runs):
             for start in range(at - before, at - after + 1):
                 owner[text, start + k * (before - after + 1)] = gram, at - start
@@ -202,16 +202,14 @@ def plain_minima(rows, groups, least, n):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 1 << 14])
-def test_common_minima(monkeypatch, block):
-    monkeypatch.setattr(suffix_array, "CONTEXT_BLOCK", block)
+def test_common_minima():
     rng = np.random.default_rng(3)
     for letters, n in itertools.product((1, 2, 3), (4, 7)):
         rows = rng.integers(1, 1 + letters, (60, n + 5)).astype(np.uint16)
         rows[rng.random(60) < 0.3, 0] = 0
         rows[rng.random(60) < 0.3, -1] = 0
         groups, least = np.sort(rng.integers(0, 6, 60)), rng.integers(0, 1000, 60)
-        got, expected = suffix_array.bounded_minima(rows, groups, least, n), plain_minima(rows, groups, least, n)
+        got, expected = suffix_array.common_minima(rows, groups, least, n), plain_minima(rows, groups, least, n)
         for p in range(6):
             whole = (rows[:, p : p + n] != 0).all(1)
             assert np.array_equal(got[whole, p], expected[whole, p])
