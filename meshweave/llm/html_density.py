@@ -2,11 +2,15 @@
 
 Every node of the page's tree gets its characters per tag, adjusted by the share of
 characters and tags that links hold. The subtree whose children's densities have the
-greatest sum is the content; the least density on its path to the body is the threshold
-that other subtrees must reach. Whatever is a menu, header, footer, side bar, notice,
-advert, script, style or reader comment by its element or role is no part of the tree;
-nor is what is one by its class or id, or a form, unless it holds most of the page's text
-outside links, a main element or the longest article.
+greatest sum is the content (of a block of text what holds it); the least density on its path to the body is the threshold
+that other subtrees must reach. It grows to a parent whose other children together are
+half as dense as that, and takes the headings before it.
+
+Elements whose kind or role says that they are no text of the page (menus, footers, side
+bars, scripts, hidden ones) are no part of the tree. A class, an id or a form only breaks
+ties: without such elements the densest subtree is looked for first, and it stands unless
+theirs has twice the sum and no headline or article stands elsewhere; in what is taken,
+those that hold less than half are left out.
 """
 
 from __future__ import annotations
@@ -29,12 +33,11 @@ BLOCKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
-    r"|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|pager|pagination|header|masthead|topbar|footer|footnotes|copyright|sidebar|side|aside|widget|related|recommended|share|sharing|social|toolbar|comment|comments|commentlist|respond|replies|disqus|skip)(?:$|[\s_-])"
+    r"|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|pager|pagination|header|masthead|topbar|footer|footnotes|copyright|sidebar|side|aside|widget|related|recommended|share|sharing|social|toolbar|comment|comments|commentlist|respond|replies|disqus|discussion|skip)(?:$|[\s_-])"
 )
-#: The header of a post holds its headline.
-POST_HEADER = re.compile(r"(?:^|(?<=\s))(?:post|entry|article|story)[_-]+header(?=$|\s)")
 #: An open element of the first kind ends when one of the second kind begins.
 ENDS = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: What such an implied end doesn't reach across.
 WALLS = frozenset("ul ol dl table td th article section div body html aside nav header footer form main blockquote".split())
 
@@ -48,15 +51,15 @@ END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 class Node:
     """An element: its children and texts in order, and what its subtree holds."""
 
-    __slots__ = ("tag", "parent", "parts", "out", "doubted", "article", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "out", "doubted", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, doubted: bool = False, article: bool = False):
-        self.tag, self.parent, self.parts, self.out, self.doubted, self.article = tag, parent, [], out, doubted, article
+    def __init__(self, tag: str, parent: Node | None, out: bool, doubted: bool = False):
+        self.tag, self.parent, self.parts, self.out, self.doubted = tag, parent, [], out, doubted
 
 
 def _is_named(attributes: str) -> bool:
-    """Whether a word of the class or id is one of NAMES; the header of a post is none."""
-    return any(name.lower() in ("class", "id") and NAMES.search(POST_HEADER.sub(" ", "".join(values).lower())) for name, *values in ATTRIBUTE.findall(attributes))
+    """Whether a word of the class or id is one of NAMES."""
+    return any(name.lower() in ("class", "id") and NAMES.search("".join(values).lower()) for name, *values in ATTRIBUTE.findall(attributes))
 
 
 def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -74,35 +77,6 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def _settle(root: Node) -> None:
-    """Take out the elements that are doubted by name or as forms, but those that hold most of the page's text outside links, a main, or its longest article."""
-    nodes, inside = [], [(root, False)]
-    while inside:
-        node, linked = inside.pop()
-        linked = linked or node.tag == "a"
-        nodes.append(node)
-        node.plain = 0 if linked else sum(len(x) - x.count(" ") - x.count("\n") for x in node.parts if type(x) is str)
-        inside += [(x, linked) for x in node.parts if type(x) is not str and not x.out]
-    if not any(n.doubted for n in nodes):
-        return
-    for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.plain += node.plain
-    held = {id(n) for n in nodes if n.tag == "main"}
-    longest = max((n for n in nodes if n.article), key=lambda n: n.plain, default=None)
-    held |= {id(longest)} if longest is not None else set()
-    around = set()
-    for node in reversed(nodes):
-        if (id(node) in held or id(node) in around) and node.parent is not None and id(node.parent) not in held:
-            around.add(id(node.parent))
-    own, held = held, held | around
-    within = set(own)  # beside a main or an article, most of the text is no evidence
-    for node in nodes:
-        if node.parent is not None and id(node.parent) in within:
-            within.add(id(node))
-        node.out = node.doubted and id(node) not in held and (2 * node.plain <= root.plain or bool(held) and id(node) not in within)
-
-
 def parse(page: str) -> Node:
     """The tree of ``page``; elements left open end where their parents do."""
     root = node = Node("body", None, False)
@@ -113,7 +87,6 @@ def parse(page: str) -> Node:
         if m is None:
             if at < len(page):
                 node.parts.append(page[at:])
-            _settle(root)
             return root
         if m.start() > at:
             node.parts.append(page[at : m.start()])
@@ -148,7 +121,12 @@ def parse(page: str) -> Node:
             while up is not root and up.tag not in ENDS and up.tag not in WALLS:
                 up = up.parent
         named = bool(m[3]) and not m[3].isspace() and _is_named(m[3])
-        new = Node(tag, node, node.out or _is_dropped(tag, m[3], articles > 0), tag == "form" or named and tag not in ("article", "main"), tag == "article" and not named)
+        new = Node(tag, node, node.out or _is_dropped(tag, m[3], articles > 0), tag == "form" or named and tag not in ("article", "main"))
+        if tag in ("h1", "article", "main") and not named and not new.out:
+            up = node
+            while up is not None:  # what holds the headline or an article is none of what its name says
+                up.doubted = False
+                up = up.parent
         node.parts.append(new)
         if tag in RAW:
             end = END[tag].search(page, at)
@@ -169,6 +147,15 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, of_body: float) -> float:
+    """Characters per tag, times the logarithm of their ratios to those of links, to a base that grows with the links' share."""
+    if not chars:
+        return 0.0
+    tags = tags or 1
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + of_body * chars + math.e)
+    return chars / tags * max(0.0, math.log(max(chars / (link_chars or 1) * tags / (link_tags or 1), 1.0))) / max(base, 1.0)
+
+
 def measure(root: Node) -> list[Node]:
     """Set every node's composite density and its children's sum; the nodes, parents first."""
     nodes = _walk(root)
@@ -186,14 +173,9 @@ def measure(root: Node) -> list[Node]:
             node.link_chars = node.chars
     of_body = root.link_chars / root.chars if root.chars else 0.0
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, node.tags or 1, node.link_chars, node.link_tags
-        if not c:
-            node.density = 0.0
-        else:
-            base = math.log(c / max(1, c - lc) * lc + of_body * c + math.e)
-            node.density = c / t * max(0.0, math.log(max(c / (lc or 1) * t / (lt or 1), 1.0))) / max(base, 1.0)
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, of_body)
         node.total = math.fsum(x.density for x in node.parts if type(x) is not str and not x.out)
-        if not node.total and c:
+        if not node.total and node.chars:
             node.total = node.density * 1e-9  # only texts: before an empty node, after any with children
     return nodes
 
@@ -202,29 +184,69 @@ def _best(nodes: list[Node]) -> Node:
     return max(nodes, key=lambda n: n.total)  # the first, so the outer one, of equals
 
 
+def _selected(root: Node) -> Node:
+    """The subtree with the greatest sum of densities, doubted elements settled: those that are no text of the page are out."""
+    doubted = [n for n in _walk(root) if n.doubted]
+    if not doubted:
+        return _best(measure(root))
+    first = _best(measure(root))
+    total = first.total
+    for node in doubted:
+        node.out = True
+    best = _best(measure(root))
+    plain = any(n.tag in ("h1", "article", "main") for n in _walk(root))
+    if not best.chars or not plain and total > 2 * best.total:
+        around, node = set(), first
+        while node is not None:
+            around.add(id(node))
+            node = node.parent
+        for node in doubted:
+            node.out = False
+        measure(root)
+        for node in doubted:
+            node.out = id(node) not in around and 2 * node.chars < first.chars
+        nodes = measure(root)
+        best = first if first.total else _best(nodes)
+    return best
+
+
+def _thin(nodes: list[Node], threshold: float, in_article: bool, of_body: float) -> bool:
+    """Whether ``nodes`` together are less than half as dense as the threshold, or in an article mostly links."""
+    c, t, lc, lt = (sum(getattr(n, k) for n in nodes) for k in ("chars", "tags", "link_chars", "link_tags"))
+    return 2 * lc >= c if in_article else 2 * composite(c, t + len(nodes), lc, lt, of_body) < threshold
+
+
 def content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
-    nodes = measure(root)
-    best = _best(nodes)
+    best = _selected(root)
     if not best.chars:
         return []
+    while best is not root and not any(type(x) is not str and not x.out and x.chars and x.tag in BLOCKS for x in best.parts):
+        best = best.parent  # a block of text stands for what holds it
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    whole = [n for n in path if n.tag in ("article", "main")]
-    best = whole[-1] if whole else best
+    threshold, of_body = min(n.density for n in path), root.link_chars / root.chars
+    while best is not root and best.parent is not root:
+        beside = [x for x in best.parent.parts if type(x) is not str and not x.out and x is not best and x.chars]
+        if beside and _thin(beside, threshold, best.parent.tag in ("article", "main"), of_body):
+            break
+        best = best.parent
     if best is root:
         return [root]
-    path = path[path.index(best) :]
-    threshold = min(n.density for n in path[:-1])
     kept, inside = [], set(map(id, path))
-    todo = [root]
+    todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
-        node = todo.pop()
-        if node is best or id(node) not in inside and node.chars and node.density >= threshold and (node.parent is None or id(node.parent) in inside or node.tag in ("article", "main")):
+        node, heads = todo.pop()
+        if node is best or heads or id(node) not in inside and node.chars and node.density >= threshold:
             kept.append(node)
-        elif id(node) in inside or whole:  # in what is too thin itself, other articles, such as the parts of a long one
-            todo += [x for x in reversed(node.parts) if type(x) is not str and not x.out]
+        elif id(node) in inside:
+            parts = [x for x in node.parts if type(x) is not str and not x.out and (x.chars or id(x) in inside)]
+            at = next(k for k, x in enumerate(parts) if id(x) in inside)
+            first = at
+            while first and (parts[first - 1].tag in HEADINGS or node.tag in ("article", "main")):
+                first -= 1
+            todo += [(x, first <= k < at) for k, x in reversed(list(enumerate(parts)))]
     return kept
 
 

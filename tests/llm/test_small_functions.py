@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
@@ -262,3 +263,77 @@ def test_records_round_trip():
     assert found[1][2]["warc-payload-digest"] == "sha256:" + hashlib.sha256(bodies[1]).hexdigest()
     with pytest.raises(ValueError):
         list(merkle_warc.read_records(data[:-3]))
+
+
+def plain_density(tree, body=None):
+    """(density, total, characters, tags, link characters, link tags) of nested (tag, [texts and trees]), each node's in a list of the whole in page order."""
+    tag, parts = tree
+    every, chars, tags, link_chars, link_tags, inner = [], 0, 0, 0, 0, []
+    for x in parts:
+        if isinstance(x, str):
+            chars += len(x.replace(" ", ""))
+        else:
+            below = plain_density(x, body)
+            every += below
+            inner.append(below[0])
+            chars, tags, link_chars, link_tags = chars + below[0][2], tags + below[0][3] + 1, link_chars + below[0][4], link_tags + below[0][5] + (x[0] == "a")
+    if tag == "a":
+        link_chars = chars
+    ratio = body if body is not None else 0
+    density = 0.0
+    if chars:
+        t = max(tags, 1)
+        argument = chars / max(link_chars, 1) * t / max(link_tags, 1)
+        base = math.log(math.e + chars / max(1, chars - link_chars) * link_chars + ratio * chars)
+        density = chars / t * max(0.0, math.log(argument)) / max(1.0, base) if argument > 0 else 0.0
+    return [(density, sum(x[0] for x in inner), chars, tags, link_chars, link_tags), *every]
+
+
+def test_densities_against_plain_ones():
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0:
+            return rng.choice(["div", "section", "b", "a"]), ["word " * rng.randint(1, 30)]
+        return rng.choice(["div", "section"]), [tree(rng.randint(0, depth - 1)) if rng.random() < 0.7 else "text " * rng.randint(1, 9) for _ in range(rng.randint(1, 5))]
+
+    text = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(text, x[1]))}</{x[0]}>"
+    for _ in range(60):
+        whole = "body", [tree(3) for _ in range(rng.randint(1, 4))]
+        _, _, chars, _, link_chars, _ = plain_density(whole)[0]
+        expected = plain_density(whole, link_chars / chars)
+        nodes = html_density.measure(html_density.parse(text(whole)))
+        assert [n.density for n in nodes] == pytest.approx([e[0] for e in expected])
+        assert [n.total for n in nodes if n.total > 1e-3] == pytest.approx([e[1] for e in expected if e[1] > 1e-3])
+
+
+BODY = "".join(f"<p>Paragraph {k} says something of a length that paragraphs of an article have.</p>" for k in range(6))
+PLAIN = "\n".join(f"Paragraph {k} says something of a length that paragraphs of an article have." for k in range(6))
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<form action=x>{BODY}<input></form>", PLAIN),
+    (f"<article><div class='entry-header'><h1>Title</h1></div>{BODY}</article>", "Title\n" + PLAIN),
+    (f"<article>{BODY}</article>" + "<article class=teaser>" + "<p><a href=/x>A link to another article of the site</a></p>" * 4 + "</article>", PLAIN),
+    (f"<article>{BODY}<div class='discussion'>" + "<p>I don't agree with this.</p>" * 3 + "</div></article>", PLAIN),
+    (f"<div><ul>{'<li><a href=/>menu</a>' * 8}</ul></div><div>{BODY}</div><div><a href=/>imprint</a></div>", PLAIN),
+    (f"<div><h2>Headline</h2><div>{BODY}</div><div>{'<a href=/>tag</a> ' * 6}</div></div>", "Headline\n" + PLAIN),
+    (f"<section><section>{BODY}</section><section>{BODY}</section><section><p>Short end.</p></section></section>", PLAIN + "\n" + PLAIN + "\nShort end."),
+])
+def test_density_chooses(page, text):
+    assert html_density.main_text(page) == text
+
+
+@pytest.mark.parametrize("tag", ["section", "div", "main"])
+def test_the_element_of_the_article_hardly_matters(tag):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert sum(html_density.main_text(p) != html_density.main_text(p.replace("<article", f"<{tag}").replace("</article", f"</{tag}")) for p in pages) <= len(pages) // 100
+
+
+def test_very_long_blocks():
+    text = "one very long block " * 200_000
+    assert html_density.main_text(f"<nav>menu</nav><div>{text}</div>") == text.strip()
