@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,19 +14,38 @@ from pyspark.sql import DataFrame
 #: Bytes of text that one call of the library gets, and the length from which a text is cut.
 BATCH_BYTES, LONG_BYTES = 1 << 20, 1 << 16
 
-#: A cut before one blank between two other characters never changes the byte-level
-#: pre-tokens: the run before it ends there in any case, and the blank opens the next.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Where byte-level pre-tokens end whatever stands around: before a single blank or newline
+#: between other characters, as the run before it ends there and a run after it begins with
+#: it or behind it; and between an ASCII letter and a digit, which never share a run.
+SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
-def safe_pieces(text: str, size: int = LONG_BYTES) -> list[str]:
+def cut_rule(path: str) -> re.Pattern | None:
+    """The places at which a text may be cut for the tokenizer file at ``path``; None if it must stay whole.
+
+    :data:`SAFE` holds for byte-level pre-tokens by the usual pattern, without a normaliser
+    or an added blank, if no added token has such a place or takes white space around it.
+    """
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    before = settings.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not settings.get("normalizer") and not settings.get("post_processor")
+    if not plain or (settings.get("model") or {}).get("type") != "BPE":
+        return None
+    for token in settings.get("added_tokens") or ():
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word") or re.search(r"\s", token["content"]) or SAFE.search(token["content"]):
+            return None
+    return SAFE
+
+
+def safe_pieces(text: str, rule: re.Pattern | None, size: int = LONG_BYTES) -> list[str]:
     """``text`` in pieces of about ``size`` characters whose token counts add up to its own.
 
-    Cuts are only made at :data:`SAFE` places; a text without any stays whole.
+    Cuts are only made where ``rule`` allows it; a stretch without such a place stays whole.
     """
     out, start = [], 0
-    while len(text) - start > size:
-        cut = SAFE.search(text, start + size)
+    while rule is not None and len(text) - start > size:
+        cut = rule.search(text, start + size)
         if cut is None:
             break
         out.append(text[start : cut.start()])
@@ -42,101 +62,56 @@ def _tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
-    return found
-
+    return found, cut_rule(path)
 
-#: What rules out the plain form: white space at an end, in runs, or other than blank and newline.
-UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-#: Words that a worker remembers, and the longest of them.
-KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 64
 
+def balanced(pieces: Iterable[tuple[int, str, int]], size: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Batches of (owner, piece, bytes) in order, each closed as soon as it holds ``size`` bytes."""
+    batch, held = [], 0
+    for piece in pieces:
+        batch.append(piece)
+        held += piece[2]
+        if held >= size:
+            yield batch
+            batch, held = [], 0
+    if batch:
+        yield batch
 
-@functools.lru_cache(maxsize=4)
-def _known(path: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of words that open a line, and of words after a blank; bounded by :data:`KNOWN_WORDS`."""
-    return {}, {}
 
+def lengths(texts: list[str | None], path: str) -> tuple[list[int], list[int]]:
+    """UTF-8 bytes and tokens of each text (None: 0, 0), without added special tokens."""
+    tokenizer, rule = _tokenizer(path)
+    n_bytes, n_tokens = [0] * len(texts), [0] * len(texts)
 
-def lengths(texts: list[str | None], path: str) -> list[int]:
-    """Tokens of each text (None: 0), without added special tokens.
+    def pieces() -> Iterator[tuple[int, str, int]]:
+        for owner, text in enumerate(texts):
+            if text:
+                for piece in safe_pieces(text, rule):
+                    yield owner, piece, len(piece) if piece.isascii() else len(piece.encode())
 
-    A text of words between single blanks and newlines is cut at all of them, which are
-    safe, and each distinct word is encoded once in a batch for all texts at hand; any
-    other text goes through :func:`safe_pieces`.
-    """
-    encode = _tokenizer(path).encode_batch_fast
-    out, pieces, owners, size = [0] * len(texts), [], [], 0
-    first, after = _known(path)
-
-    def flush() -> None:
-        for owner, found in zip(owners, encode(pieces, add_special_tokens=False)):
-            out[owner] += len(found)
-        pieces.clear()
-        owners.clear()
-
-    def learn(known: dict[str, int], new: set[str], before: str) -> None:
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-        batch, held = [], 0
-        for word in new:
-            batch.append(word)
-            held += len(word)
-            if held >= BATCH_BYTES:
-                known.update(zip(batch, map(len, encode([before + w for w in batch], add_special_tokens=False))))
-                batch, held = [], 0
-        known.update(zip(batch, map(len, encode([before + w for w in batch], add_special_tokens=False))))
-
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        if UNEVEN.search(text):
-            for piece in safe_pieces(text):
-                pieces.append(piece)
-                owners.append(i)
-                size += len(piece)
-                if size >= BATCH_BYTES:
-                    flush()
-                    size = 0
-            continue
-        lines = text.split("\n")
-        heads, rest = [], []
-        for line in lines:
-            head, *words = line.split(" ")
-            heads.append(head)
-            rest += words
-        total = len(lines) - 1  # the newlines, a token each
-        for words, known, before in ((heads, first, ""), (rest, after, " ")):
-            new = set(words).difference(known)
-            if new:
-                if any(len(w) > KNOWN_CHARS for w in new):
-                    long = [w for w in words if len(w) > KNOWN_CHARS]
-                    words = [w for w in words if len(w) <= KNOWN_CHARS]
-                    total += sum(map(len, encode([before + w for w in long], add_special_tokens=False)))
-                    new = {w for w in new if len(w) <= KNOWN_CHARS}
-                learn(known, new, before)
-                if len(known) < len(new) or not known.keys() >= set(words):  # it was emptied meanwhile
-                    learn(known, set(words).difference(known), before)
-            total += sum(map(known.__getitem__, words))
-        out[i] = total
-    flush()
-    return out
+    for batch in balanced(pieces(), BATCH_BYTES):
+        found = tokenizer.encode_batch_fast([piece for _, piece, _ in batch], add_special_tokens=False)
+        for (owner, _, size), encoding in zip(batch, found):
+            n_bytes[owner] += size
+            n_tokens[owner] += len(encoding)
+    return n_bytes, n_tokens
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``df``, in one pass without a shuffle.
 
     Null and empty texts have 0 bytes and 0 tokens; null ids stay null; repeated rows give
-    repeated results; other columns are not read, whatever their names. ``path`` is a
-    byte-level tokenizer file for the ``tokenizers`` library. Special strings inside texts
-    are handled as the library does by default.
+    repeated results; an empty table gives none; other columns are not read, whatever their
+    names. ``path`` is any file of the ``tokenizers`` library: texts are cut only where the
+    file's own settings make it safe (:func:`cut_rule`), and otherwise stay whole at any
+    length, as the library needs them. Special strings inside texts are handled as the
+    library does by default.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            tokens = lengths(texts, path)
-            sizes = [len(t.encode()) if t else 0 for t in texts]
+            sizes, tokens = lengths(batch.column(1).to_pylist(), path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
