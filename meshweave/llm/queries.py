@@ -47,7 +47,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "whole", "part", "position")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +82,15 @@ ORACLE: dict[str, str] = {
                 / sum(w) OVER (ORDER BY room / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l
             FROM w
         ), lev AS (SELECT l AS lev FROM l WHERE l * w <= room ORDER BY room / w, k LIMIT 1
-        ), g AS (SELECT source, s, least(room, lev * w) AS target FROM l, lev
+        ), g AS (SELECT source, s, least(room, lev * w) AS target, CAST([-0.5, 0.25, 0.75][k % 3 + 1] AS DOUBLE) AS a FROM l, lev
         ), c AS (
-            SELECT d.doc_id, d.size, g.s, g.target, CASE WHEN g.s > 0 THEN floor(g.target / g.s) ELSE 0 END AS whole,
+            SELECT d.doc_id, d.size, g.s, g.target, g.a, CASE WHEN g.s > 0 THEN floor(g.target / g.s) ELSE 0 END AS whole,
                 coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
-        )
-        SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
-            CAST(whole * size + greatest(0, least(size, floor(target - whole * s + 0.5) - start)) AS BIGINT) AS taken
-        FROM c""",
+        ), p AS (
+            SELECT *, greatest(0, least(size, floor(target - whole * s + 0.5) - start)) AS part, least(start / target, 1.0) AS x, (SELECT sum(target * a) / sum(target) FROM g) AS drift FROM c
+        ), due AS (SELECT *, 2 * x / (1 - a + sqrt((1 - a) * (1 - a) + 4 * a * x)) AS due FROM p)
+        SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
+            CAST(whole AS BIGINT) AS whole, CAST(part AS BIGINT) AS part, CASE WHEN whole * size + part > 0 THEN round(due + drift * (due * due - due), 9) END AS position
+        FROM due""",
 }

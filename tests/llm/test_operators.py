@@ -47,7 +47,7 @@ def test_components(spark):
 
 
 def test_token_counts(docs, empty):
-    exact = {t: len(token_count._tokenizer(BPE).encode(t or "", add_special_tokens=False)) for _, t in TEXTS}
+    exact = {t: len(token_count._tokenizer(BPE)[0].encode(t or "", add_special_tokens=False)) for _, t in TEXTS}
     rows = token_count.count_tokens(docs, BPE).collect()
     assert sorted(map(key, rows)) == sorted(key((i, len((t or "").encode()), exact[t], exact[t] > 1024)) for i, t in TEXTS)
     assert token_count.count_tokens(empty, BPE).count() == 0
@@ -187,6 +187,37 @@ def test_mixing(docs, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_shares_follow_the_schedule(spark):
+    """In ten windows of the training, each source has the words that its schedule asks for there."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), f"s{i % 4}") for i, n in enumerate(rng.integers(1, 40, 6000))]
+    planned = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("source",))
+    target, tilt = {r.source: r.target for r in planned.select("source", "target").distinct().collect()}, dict(zip(("s0", "s1", "s2", "s3"), (-0.5, 0.25, 0.75, -0.5)))
+    whole = sum(target.values())
+    due = lambda s, t: target[s] * (t + tilt[s] * (t * t - t))
+    grid = np.linspace(0, 1, 100_001)
+    ends = [grid[np.searchsorted(sum(due(s, grid) for s in target), whole * k / 10)] if 0 < k < 10 else k / 10 for k in range(11)]
+    words = {}
+    for r in mixing.schedule(planned, ("source",)).collect():
+        at = min(int(r.position * 10), 9), r.source
+        words[at] = words.get(at, 0) + r.words
+    assert sum(words.values()) == pytest.approx(whole, abs=2)
+    for k in range(10):
+        assert sum(words[k, s] for s in target) == pytest.approx(whole / 10, abs=200)
+        for s in target:
+            assert words[k, s] == pytest.approx(due(s, ends[k + 1]) - due(s, ends[k]), abs=100)
+    assert words[0, "s0"] > 1.5 * words[9, "s0"]
+    flat = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), tilts=(0.0,))
+    assert {r.doc_id: r.position for r in flat.collect()} != {r.doc_id: r.position for r in planned.collect()}
+
+
+def test_mix_of_clashing_columns_and_ids(spark):
+    rows = [(1, "a b c", "x", 0.5, 7), (1, "d e", "x", 0.5, 8), (None, None, None, 0.1, 1), (2, "f " * 9, "y", 0.2, 2), (2, "f " * 9, "y", 0.2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position double, `mixed 0` int")
+    out = mixing.mixed(docs).collect()
+    assert mixing.mixed(docs).columns == docs.columns and {tuple(r) for r in out} <= set(rows) and all(sum(tuple(r) == x for r in out) <= 6 for x in rows)
+
+
 @pytest.mark.parametrize("tilt", [-1.0, -0.5, 0.0, 0.75, 1.0])
 def test_schedule_is_inverted(spark, tilt):
     rows = spark.range(11).select((F.col("id") / 10).alias("x")).select("x", mixing.when_due(F.col("x") * 7, F.lit(7.0), F.lit(tilt)).alias("t")).collect()

@@ -22,25 +22,55 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 # Token counts
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text("ab é.'\n\t \x1c ", max_size=60), st.text(max_size=30)), max_size=5))
-def test_lengths_are_the_librarys(texts):
-    exact = [len(e) for e in token_count._tokenizer(BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert token_count.lengths(texts, BPE) == exact
+def library_counts(texts, path):
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return [len((t or "").encode()) for t in texts], [len(library.encode(t or "", add_special_tokens=False)) for t in texts]
 
-def test_special_strings_and_memory(monkeypatch):
-    texts = ["<|endoftext|> a <|endoftext|>x\ny", "x" * 300 + " y " + "z" * 100 + "\n" + "w" * 70, "a b c d e f g h"] * 2
-    exact = [len(e) for e in token_count._tokenizer(BPE).encode_batch(texts, add_special_tokens=False)]
-    monkeypatch.setattr(token_count, "KNOWN_WORDS", 3)
-    token_count._known.cache_clear()
-    assert token_count.lengths(texts, BPE) == exact
-    token_count._known.cache_clear()
 
+FILES = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")]
 
-@given(st.text("ab \n", max_size=200))
-def test_pieces_join(text):
-    assert "".join(token_count.safe_pieces(text, 20)) == text
+
+@pytest.mark.parametrize("path", FILES)
+def test_lengths_are_the_librarys(path):
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.text("ab1 é.'\n\t \x1c\xa0\u0301", max_size=60), st.text(max_size=30)), max_size=5), st.integers(1, 12))
+    def check(texts, size):
+        token_count.safe_pieces.__defaults__ = (size,)
+        assert token_count.lengths(texts, path) == library_counts(texts, path)
+
+    try:
+        check()
+    finally:
+        token_count.safe_pieces.__defaults__ = (token_count.LONG_BYTES,)
+
+
+@pytest.mark.parametrize("path", FILES)
+def test_lengths_of_special_strings_and_long_texts(path, monkeypatch):
+    monkeypatch.setattr(token_count, "BATCH_BYTES", 300)
+    texts = ["<|endoftext|> a <|endoftext|>x\ny", "a b\nc d e f", "x" * 300 + " y " + "z" * 100 + "\n" + "w" * 70, "it's 1st 2nd's don't " * 9000, "1a" * 40_000, "é" * 70_000, "", None]
+    assert token_count.lengths(texts, path) == library_counts(texts, path)
+
+
+def test_cut_rules():
+    assert [token_count.cut_rule(f) is not None for f in FILES] == [True, False]
+
+
+@given(st.text("ab1 \n", max_size=200), st.integers(1, 30))
+def test_pieces_join(text, size):
+    pieces = token_count.safe_pieces(text, token_count.SAFE, size)
+    assert "".join(pieces) == text and all(len(p) >= size for p in pieces[:-1])
+    assert token_count.safe_pieces(text, None, size) == [text]
+
+
+@given(st.lists(st.integers(0, 50)), st.integers(1, 60))
+def test_batches_are_balanced(sizes, most):
+    batches = list(token_count.balanced([(i, "", n) for i, n in enumerate(sizes)], most))
+    assert [x[0] for b in batches for x in b] == list(range(len(sizes)))
+    assert all(sum(x[2] for x in b[:-1]) < most for b in batches) and all(sum(x[2] for x in b) >= most for b in batches[:-1])
 
 
 # SentencePiece
