@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import components, dropped, written
 
 LOW_BITS = np.uint64(0x5555555555555555)
-#: Members of a cell up to which all pairs are compared side by side.
-SMALL_CELL = 24
+#: Members of a cell up to which all pairs are compared side by side, in one with others or alone, and up to which it isn't dealt further.
+SMALL_CELL, SIDE, WALKED = 24, 256, 4096
 
 
 def shingles(text: str | None, width: int = 4) -> list[bytes]:
@@ -79,17 +79,39 @@ def cells(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected within each cell; ``keys`` are sorted.
-
-    In a small cell every linked pair is given. In a large one each group is walked through
-    from one member: what lies within the limit is linked and set aside, so copies cost a
-    comparison with their group, and at most one link a member comes out.
+def _walk(rest: np.ndarray, limit: int, out: list[np.ndarray], starts: int) -> np.ndarray:
+    """Chains of links from ``starts`` members, appended to ``out`` as (member, its links); what no chain has reached."""
+    while len(rest) and starts:
+        todo, rest, starts = [rest[0]], rest[1:], starts - 1
+        while todo and len(rest):
+            one = todo.pop()
+            near = np.bitwise_count(rest ^ one) <= limit
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                todo += list(found)
+                out.append(np.stack([np.full(len(found), one), found], 1))
+    return rest
+
+
+def _beside(some: np.ndarray, limit: int, out: list[np.ndarray]) -> None:
+    """Links that connect what is connected in one group: all of them where they are few, else those of a walk."""
+    if len(some) <= SIDE:
+        a, b = np.nonzero(np.triu(np.bitwise_count(some[:, None] ^ some[None]) <= limit, 1))
+        if len(a) <= 4 * len(some):
+            out.append(np.stack([some[a], some[b]], 1))
+            return
+    _walk(some, limit, out, len(some))
+
+
+def _grouped(keys: np.ndarray, x: np.ndarray, limit: int, bits: np.ndarray, out: list[np.ndarray]) -> None:
+    """Links that connect what is connected within each group of equal ``keys``, which are sorted; members agree in all but ``bits``.
+
+    A group over WALKED is dealt by each of limit + 1 shares of the bits: what is linked
+    agrees in one of them. Before it is dealt again, the chains of a few members are taken
+    out, which is most of what makes such a group large.
     """
-    x = prints.view(np.uint64)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
-    out_a, out_b = [], []
     for gap in range(1, SMALL_CELL):
         rows = starts[(sizes > gap) & (sizes <= SMALL_CELL)]
         if not len(rows):
@@ -97,23 +119,33 @@ def links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray,
         many = sizes[(sizes > gap) & (sizes <= SMALL_CELL)] - gap
         first = np.repeat(rows, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         near = first[np.bitwise_count(x[first] ^ x[first + gap]) <= limit]
-        out_a.append(prints[near])
-        out_b.append(prints[near + gap])
+        out.append(np.stack([x[near], x[near + gap]], 1))
     for start, size in zip(starts[sizes > SMALL_CELL], sizes[sizes > SMALL_CELL]):
-        rest = np.unique(x[start : start + size])
-        while len(rest):
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                one = todo.pop()
-                near = np.bitwise_count(rest ^ one) <= limit
-                if near.any():
-                    found, rest = rest[near], rest[~near]
-                    todo += list(found)
-                    out_a.append(np.full(len(found), one).view(np.int64))
-                    out_b.append(found.view(np.int64))
-    if not out_a:
+        some = np.unique(x[start : start + size])
+        if len(some) > WALKED and len(bits) < 64:
+            some = _walk(some, limit, out, 4)
+        if len(some) <= WALKED or len(bits) <= limit + 1:
+            _beside(some, limit, out)
+            continue
+        for share in np.array_split(bits, limit + 1):
+            key = some & np.bitwise_or.reduce(np.uint64(1) << share)
+            order = np.argsort(key, kind="stable")
+            _grouped(key[order], some[order], limit, np.setdiff1d(bits, share), out)
+
+
+def links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected within each cell; ``keys`` are sorted.
+
+    In a small cell every linked pair is given. A larger one is compared side by side or
+    walked through from one member after the other: what lies within the limit is linked
+    and set aside, so copies cost a comparison with their group. A very large one is dealt
+    further first.
+    """
+    out: list[np.ndarray] = []
+    _grouped(keys, prints.view(np.uint64), limit, np.arange(64, dtype=np.uint64), out)
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1)
+    both = np.concatenate(out).view(np.int64)
     both.sort(1)
     both = np.unique(both, axis=0)
     return both[:, 0], both[:, 1]
@@ -125,8 +157,8 @@ def _prints(df: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",)) -> D
             found = [fingerprint(t.as_py(), width) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.int64())], [*keep, "print"])
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, "text").mapInArrow(run, f"{schema}, print long")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*(F.col(f"`{c}`") for c in keep), "text").mapInArrow(run, f"{schema}, print long")
 
 
 def print_links(prints: DataFrame, limit: int) -> DataFrame:
@@ -189,11 +221,15 @@ def keep_first(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
     over all columns, so rows that share an id and aren't alike are groups of their own;
     of a group's rows with its smallest id, the one of the least hash stays.
     """
-    keys = ["row_hash_1", "row_hash_2"]
+    keys = [f"row hash {k}" + " " * sum(c.startswith("row hash ") for c in docs.columns) for k in (1, 2)]
     keyed = docs.select("*", *(F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns)).alias(name) for k, name in enumerate(keys)))
-    prints = _prints(keyed, width, ("doc_id", *keys))
-    distinct = written(prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("least")), "distinct")
+    prints = written(_prints(keyed, width, ("doc_id", *keys)), "prints")
+    distinct = written(prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *(F.col(f"`{k}`") for k in keys))).alias("least")), "distinct")
     rooted = _rooted(distinct, limit)
-    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.row_hash_1", "least.row_hash_2"), "first")
-    dropped(distinct, rooted)
-    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.`{k}`") for k in keys)), "first")
+    repeated = written(prints.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    dropped(distinct, rooted, prints)
+    kept = keyed.join(first, keys, "left_semi")
+    if not repeated.isEmpty():  # only rows that are equal in all columns move once more
+        kept = kept.join(repeated, keys, "left_anti").union(kept.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -197,6 +197,23 @@ def test_cells_and_links(limit):
     assert all(distance[at[p], at[q]] <= limit for p, q in zip(a.tolist(), b.tolist()))
 
 
+@pytest.mark.parametrize("limit", [1, 4])
+def test_links_of_a_hot_cell(monkeypatch, limit):
+    """One cell with clusters, chains and strangers, walked, dealt once and dealt again."""
+    rng = np.random.default_rng(limit)
+    flips = lambda n, most: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, most)).astype(np.uint64), 1)
+    x = [rng.integers(0, 1 << 64, 600, dtype=np.uint64), rng.integers(0, 1 << 64, 1, dtype=np.uint64) ^ flips(700, 3), np.uint64(77) ^ np.bitwise_xor.accumulate(flips(200, 2))]
+    x = np.unique(np.concatenate([*x, rng.integers(0, 1 << 20, 500, dtype=np.uint64)])).view(np.int64)
+    distance = np.bitwise_count(x.view(np.uint64)[:, None] ^ x.view(np.uint64)[None])
+    expected = joined(len(x), np.argwhere(distance <= limit).tolist())
+    at = {v: i for i, v in enumerate(x.tolist())}
+    for walked in (4096, 100, 3):
+        monkeypatch.setattr(simhash, "WALKED", walked)
+        a, b = simhash.links(np.zeros(len(x), np.int64), x, limit)
+        pairs = [(at[p], at[q]) for p, q in zip(a.tolist(), b.tolist())]
+        assert joined(len(x), pairs) == expected and all(distance[p, q] <= limit for p, q in pairs)
+
+
 # Repeated strings
 
 
