@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-#: Stands for a null id where ids are compared; so null comes before every other id.
-NO_ID = -(1 << 63)
-
 
 def _icu(owner: str, method: str, text: Column) -> Column:
     return F.java_method(F.lit(f"com.ibm.icu.{owner}"), F.lit(method), text, F.lit(True))
@@ -54,13 +51,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_next. The edited text has its last quarter replaced by the start of the next
     document's. A likeness is 1.0 for equal canonical texts and 0.0 otherwise. Documents
     whose digests are equal have their canonical bytes compared; should they differ, an
-    ordinal in the bucket follows the digest.
+    ordinal in the bucket follows the digest. An edited text is compared by bytes with its
+    own document; that it equals another one's fingerprint rests on the digest's 128 bits.
 
     A null text is ''. A null id comes before all others. Rows that share an id all have
     the same next document, and stand before it with the least (hash, text) among them.
     A single document is its own next one. Other columns are not read.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = F.xxhash64("text").alias("h")
     plain = written(texts.select("k", hashed, F.length("text").alias("n"), canonical(F.col("text")).alias("c")).select("k", "h", "n", digest(F.col("c")).alias("d")), "digests")
     # Rows in buckets with others keep their canonical text for the comparison of bytes.
@@ -93,7 +91,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     after = done.groupBy("k").agg(F.min(F.struct("h", "d"))["d"].alias("nd"))
     after = order.join(after.withColumnRenamed("k", "next"), "next").select("k", "nd")
     out = done.join(after, "k").select(
-        F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
+        F.when(F.col("k.known"), F.col("k.id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         F.col("d").alias("fingerprint"),
