@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("length", "letters", "capitals", "symbols", "bars", "marks", "digits", "blanks", "word_length", "repeated_next", "repeated_lines")
+FEATURES = ("length", "letters", "capitals", "symbols", "marks", "digits", "blanks", "word_length", "repeated_next", "repeated_lines")
 # The characters that a class of marks holds.
 _CLASS = np.zeros(256, np.int64)
-for _name, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*+=@^~<>{}[]\\_`", b"|", b"!?", b"0123456789", b" \t\n\r\x0b\x0c"), 1):
+for _name, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*+=@^~<>{}[]\\_`|", b"!?", b"0123456789", b" \t\n\r\x0b\x0c"), 1):
     _CLASS[list(_chars)] = _name
-_CLASS[128:] = 8  # bytes of other letters
+_CLASS[128:] = 7  # bytes of other letters
 _TABLE = bytes(_CLASS.astype(np.uint8))
 
 
@@ -35,11 +35,11 @@ def statistics(text: str | None) -> list[float]:
     """The transformed statistics of one whole text; an empty or null text has those of no characters."""
     raw = (text or "").encode()
     n = len(raw)
-    counts = np.bincount(np.frombuffer(raw.translate(_TABLE), np.uint8), minlength=9).tolist()
+    counts = np.bincount(np.frombuffer(raw.translate(_TABLE), np.uint8), minlength=8).tolist()
     words = raw.lower().split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     same_next = sum(map(bytes.__eq__, words, words[1:]))
-    letters = counts[1] + counts[2] + counts[8]
+    letters = counts[1] + counts[2] + counts[7]
     return [
         math.log1p(n),
         _log_odds(letters, n),
@@ -48,8 +48,7 @@ def statistics(text: str | None) -> list[float]:
         _log_odds(counts[4], n),
         _log_odds(counts[5], n),
         _log_odds(counts[6], n),
-        _log_odds(counts[7], n),
-        math.log1p((n - counts[7]) / (len(words) or 1)),
+        math.log1p((n - counts[6]) / (len(words) or 1)),
         _log_odds(same_next, len(words)),
         _log_odds(len(lines) - len(set(lines)), len(lines)),
     ]
@@ -90,16 +89,16 @@ def fit(labelled: DataFrame, shrinkage: float = 0.5, ridge: float = 1e-3) -> Dis
     """
     d = len(FEATURES)
     x = [F.col("f")[i] for i in range(d)]
-    sums: list[Column] = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
-    sums += [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    found = {r["label"]: r for r in labelled.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n"), *sums).collect()}
+    moments: list[Column] = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]  # centred as they go, so large counts lose no digits
+    moments += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+    found = {r["label"]: r for r in labelled.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n"), *moments).collect()}
     n, means, scatter = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
     for k, r in found.items():
         n[k] = r["n"]
-        means[k] = [r[f"s{i}"] / r["n"] for i in range(d)]
+        means[k] = [r[f"m{i}"] for i in range(d)]
         for i in range(d):
             for j in range(i, d):
-                scatter[k, i, j] = scatter[k, j, i] = r[f"p{i}_{j}"] - r["n"] * means[k, i] * means[k, j]
+                scatter[k, i, j] = scatter[k, j, i] = r["n"] * r[f"c{i}_{j}"]
     if not n.all():
         means[:] = means[int(n.argmax())]
         n[:] = max(n.sum(), 1) / 2
