@@ -59,13 +59,19 @@ class Lattice:
 
     @classmethod
     def load(cls, path: str) -> Lattice:
+        """The lattice of a SentencePiece file. Texts are normalised by the library as the file says."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(model.get_piece_size())
         byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in every if model.is_byte(i)}
         plain = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        return cls([(model.id_to_piece(i), i, model.get_score(i)) for i in plain], byte_ids, model.unk_id())
+        probe = model.normalize("a")
+        if probe not in ("a", SPACE + "a", "A", SPACE + "A"):
+            raise ValueError("a model that marks the ends of words isn't supported")
+        out = cls([(model.id_to_piece(i), i, model.get_score(i)) for i in plain], byte_ids, model.unk_id(), probe[0] == SPACE)
+        out.normalised = model.normalize
+        return out
 
     def _forget(self) -> None:
         """Of each known segment: score, loss to the second best, and where its ids lie in the pool."""
@@ -75,6 +81,7 @@ class Lattice:
         self.pool, self.pooled = np.zeros(8192, np.int32), 0
 
     def normalised(self, text: str) -> str:
+        """Blanks as pieces have them; a loaded model replaces this by the library's own normaliser."""
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
     def segments(self, text: str) -> list[str]:
@@ -216,7 +223,10 @@ class Lattice:
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a segmentation; bytes that make no character become U+FFFD."""
-        ids = np.asarray(ids, np.int64)
+        if not isinstance(ids, np.ndarray):
+            ids = np.array([i for i in ids if i is not None], np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.byte_sizes)):
+            ids = ids[(ids >= 0) & (ids < len(self.byte_sizes))]
         sizes = self.byte_sizes[ids]
         ends = np.cumsum(sizes)
         raw = self.byte_pool[np.repeat(self.byte_starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -255,12 +265,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def encode_nbest(df: DataFrame, path: str, n: int = 4, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", results: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
     """(*keep, *results) for every row of ``df``, in one pass without a shuffle.
 
-    ids: the best segmentation. scores, nbest and nbest_sha256: of the ``n`` best, from the
-    best down, nbest being their ids and the digests those of the ids as little-endian
-    32-bit integers. decoded_equal: whether the ids of all ``n`` decode to the text; only a
-    U+2581 of the text itself is lost, which the model can't tell from a blank. A null or
-    empty text has one segmentation without pieces, with score 0. Nulls in ``keep`` and
-    repeated rows stay; other columns are not read.
+    ids: the best segmentation by the sum of the pieces' scores in the file. Of a unigram
+    model these are log-probabilities, and ids are what the library encodes. Of a BPE model,
+    whose library encoding merges pairs and knows no n best, they are the ranks of merges,
+    so ids are the segmentation with the least sum of ranks and not that encoding.
+
+    Texts are normalised as the file says. scores, nbest and nbest_sha256: of the ``n`` best, from the
+    best down (equal ones in an order that the text and the model fix), nbest being their ids and the digests those of the ids as little-endian
+    32-bit integers. decoded_equal: whether the ids of all ``n`` decode to the text; a
+    U+2581 of the text itself is lost, which the model can't tell from a blank, and what the
+    normaliser changes. A null or empty text has one segmentation without pieces, with score
+    0. Nulls in ``keep`` and repeated rows stay; an empty table gives none; texts may have
+    any length; other columns are not read.
     """
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {RESULTS[c]}" for c in results)])
 
@@ -295,7 +311,12 @@ def encode_nbest(df: DataFrame, path: str, n: int = 4, keep: tuple[str, ...] = (
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """(*keep, text): ids back to texts; null ids give a null text."""
+    """(*keep, text): ids back to texts, in one pass without a shuffle.
+
+    A null list gives a null text and an empty one ''. Null ids, ids out of range and those
+    of control pieces stand for no bytes. Bytes that make no character become U+FFFD. Nulls
+    in ``keep`` and repeated rows stay; an empty table gives none; other columns are not read.
+    """
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

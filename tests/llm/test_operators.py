@@ -93,6 +93,40 @@ def test_quality_held_out(spark):
     assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def plain_statistics(text):
+    text = text or ""
+    raw, odds = text.encode(), lambda part, whole: math.log((part + 0.05 * whole + 0.5) / (whole - part + 0.05 * whole + 0.5))
+    n, count = len(raw), lambda pattern: len(re.findall(pattern, raw))
+    words, lines = raw.lower().split(), [x for x in raw.split(b"\n") if x.strip()]
+    small, capitals, other, space = count(b"[a-z]"), count(b"[A-Z]"), count(b"[\x80-\xff]"), count(rb"[ \t\n\r\x0b\x0c]")
+    return [
+        math.log(1 + n), odds(small + capitals + other, n), odds(capitals, small + capitals), odds(count(rb"[#$%&*+=@^~<>{}\[\]\\_`|]"), n), odds(count(b"[!?]"), n), odds(count(b"[0-9]"), n), odds(space, n),
+        math.log(1 + (n - space) / max(1, len(words))), odds(sum(a == b for a, b in zip(words, words[1:])), len(words)), odds(len(lines) - len(set(lines)), len(lines)),
+    ]
+
+
+def test_quality_against_plain_densities(spark):
+    """Class means, shrunk covariances and log-densities, all from their definitions."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    groups = [np.array([x[i] for i in x if label.get(i) == k]) for k in (0, 1)]
+    scatter = [sum(np.outer(r - g.mean(0), r - g.mean(0)) for r in g) for g in groups]
+    n = sum(map(len, groups))
+    pooled = (scatter[0] + scatter[1]) / n
+    ridge = 1e-3 * np.trace(pooled) / len(pooled) * np.eye(len(pooled))
+    covariances = [0.5 * s / len(g) + 0.5 * pooled + ridge for s, g in zip(scatter, groups)]
+
+    def density(r, k):
+        away = r - groups[k].mean(0)
+        return math.log(len(groups[k]) / n) - 0.5 * np.linalg.slogdet(covariances[k])[1] - 0.5 * away @ np.linalg.solve(covariances[k], away)
+
+    for r in quality_qda.classify(docs, labels).collect():
+        lead = np.clip(density(x[r.doc_id], 1) - density(x[r.doc_id], 0), -50, 50)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-lead)), abs=1e-6)
+
+
 def canonical(text):
     text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
     return re.sub(r"[\s\x85]+", " ", text).strip(" ")
@@ -132,6 +166,14 @@ def test_single_document(docs):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_the_least_id_is_no_null(spark):
+    rows = [(-(1 << 63), "first text"), (None, "no id"), (0, "second text")]
+    found = {r.doc_id: r for r in canon_digest.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edited = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
+    assert set(found) == {None, 0, -(1 << 63)}
+    assert found[None].edited_sha256 == edited("no id", "first text") and found[-(1 << 63)].edited_sha256 == edited("first text", "second text") and found[0].edited_sha256 == edited("second text", "no id")
+
+
 def test_near_duplicates(docs, empty):
     rows = simhash.near_duplicates(docs).collect()
     prints = [plain_print(t) for _, t in TEXTS]

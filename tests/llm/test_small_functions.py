@@ -124,6 +124,54 @@ def test_nbest_against_library():
         assert sorted(tuple(changed(ids, c).tolist()) for c in changes) == sorted(map(tuple, library.nbest_encode(text, nbest_size=4, out_type=int)))
 
 
+def small_model(path, prefix, tidy, kind=1):
+    """A unigram model made by hand: nothing is trained."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    proto = pb.ModelProto()
+    for name, score, kind_ in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]:
+        proto.pieces.add(piece=name, score=score, type=kind_)
+    for k, piece in enumerate([SPACE, "a", "b", "c", "ab", "ba", "abc", "ca", SPACE + "a", SPACE + "ab", "b" + SPACE, "bca", "aa"]):
+        proto.pieces.add(piece=piece, score=-1.5 - 0.37 * k - (k * k % 7) * 0.113, type=1)
+    proto.trainer_spec.model_type = kind
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = prefix
+    proto.normalizer_spec.remove_extra_whitespaces = tidy
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("prefix,tidy", [(True, False), (False, False), (True, True), (False, True)])
+def test_unigram_models_against_the_library(tmp_path, prefix, tidy):
+    import sentencepiece
+
+    path = small_model(tmp_path / "small.model", prefix, tidy)
+    library, lattice = sentencepiece.SentencePieceProcessor(model_file=path), Lattice.load(path)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.text("abc ", min_size=1, max_size=12).filter(str.strip), st.integers(1, 6))
+    def check(text, n):
+        ids, scores, changes = lattice.encode(text, n)
+        mine, own = [tuple(changed(ids, c).tolist()) for c in changes], library.nbest_encode(text, nbest_size=n, out_type=int)
+        score = lambda x: sum(library.get_score(i) for i in x)
+        assert [score(x) for x in mine] == pytest.approx([score(x) for x in own], abs=1e-4) and scores == pytest.approx([score(x) for x in own], abs=1e-4)
+        assert len(set(mine)) == len(mine) and score(ids) == pytest.approx(score(library.encode(text)), abs=1e-4)
+        assert lattice.decode(ids) == library.decode(list(map(int, ids)))
+
+    check()
+
+
+def test_the_files_normaliser_is_the_plain_one():
+    lattice = Lattice.load(MODEL)
+    for text in ("", " ", "a  b", " ﬁ Å\t\n", "▁x", "\u00a0 \u3000"):
+        assert lattice.normalised(text) == ((SPACE if text else "") + text.replace(" ", SPACE))
+
+
+def test_decode_of_odd_ids():
+    lattice = Lattice.load(MODEL)
+    a = int(lattice.encode("word", 1)[0][0])
+    assert lattice.decode([None, a, -5, 10**9, 1]) == lattice.decode([a]) and lattice.decode([]) == ""
+
+
 def test_decode_bytes_and_memory(monkeypatch):
     import meshweave.llm.sentencepiece_nbest as module
 
