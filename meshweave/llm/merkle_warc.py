@@ -1,35 +1,40 @@
 """WARC fixity: Merkle trees over records and ordered offset ranges, compared from the root down.
 
-An archive is a set of files of records. A record's leaf holds its hash; a node above
-holds the hash of up to ``FANOUT`` children and the range of offsets that they cover. Two
-replicas are compared by their roots, and only the children of differing nodes are ever
-looked at.
+An archive is a set of WARC files, kept as a table of their bytes in pieces that end with
+a record. Each replica's bytes are read on their own: a record's leaf holds the hash of
+its bytes and their offsets, a node above the hash of up to ``FANOUT`` children and the
+range of offsets that they cover. Two replicas are compared by their roots, and only the
+children of differing nodes are ever looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
-FANOUT = 16
-#: Records of a file; files are filled in the order of the rows.
-FILE_RECORDS = 4096
+#: Characters of a URL that a header can hold as they are.
+SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
+FANOUT = 64
+#: Records of a file, which is filled in the order of the rows, and bytes of a piece.
+FILE_RECORDS, PIECE_BYTES = 4096, 1 << 20
 
 
-def record(url: str | None, body: bytes, kind: str = "response") -> bytes:
+def record(url: str | None, body: bytes, page: int | None = None) -> bytes:
     """One WARC record; its id follows from its content, so the same record has the same bytes everywhere."""
     digest = hashlib.sha256(body).hexdigest()
     name = hashlib.sha256(f"{url or ''}\n{digest}".encode()).hexdigest()
     head = (
-        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url or ''}\r\n"
+        f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {quote(url or '', safe=SAFE)}\r\n"
         f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>\r\n"
-        f"WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+        f"WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: text/html\r\n"
+        + (f"Page-ID: {page}\r\n" if page is not None else "") + f"Content-Length: {len(body)}\r\n\r\n"
     )
     return head.encode() + body + b"\r\n\r\n"
 
@@ -51,33 +56,60 @@ def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]
         at = stop
 
 
+def scan(pieces: DataFrame) -> DataFrame:
+    """(file, offset, length, hash, id, url) of every record in ``pieces(file string, offset long, data binary)``.
+
+    Hashes are of the bytes that are stored. What can't be read as a record, up to the end of
+    its piece, counts as one, without id and url. Null or empty pieces have none, repeated
+    ones repeat their records, and an empty table gives none; other columns are not read.
+    """
+    names = ["file", "offset", "length", "hash", "id", "url"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows, end = [], 0
+                try:
+                    for at, length, head, _ in read_records(data or b""):
+                        end = at + length
+                        page = head.get("page-id", "")
+                        rows.append((file, start + at, length, hashlib.sha256(data[at:end]).digest(), int(page) if page.lstrip("-").isdigit() else None, unquote(head.get("warc-target-uri", ""))))
+                except (ValueError, KeyError):
+                    rows.append((file, start + end, len(data) - end, hashlib.sha256(data[end:]).digest(), None, None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
+    return pieces.select("file", "offset", "data").mapInArrow(run, "file string, offset long, length long, hash binary, id long, url string")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """(file, node, first, last, hash, id, url) from ``records(file string, offset long, length long, hash binary, id, url)``.
 
-    node: a record's place in its file by (offset, id).
+    node: a record's place in its file by (offset, length, hash, id), nulls first; rows equal
+    in these take turns. A null file is a file; an empty table gives none.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("offset", "id")
-    return records.select("file", (F.row_number().over(order) - 1).cast("long").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), "hash", "id", "url")
+    order = Window.partitionBy("file").orderBy("offset", "length", "hash", "id")
+    return records.select(F.coalesce("file", F.lit("")).alias("file"), (F.row_number().over(order) - 1).cast("long").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), "hash", "id", "url")
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
     """The levels of the trees of all files, leaves first, up to one root for each file.
 
-    A node's hash is of its children's ranges and hashes in order.
+    A node's hash is of its children's ranges and hashes in order; a null among them counts
+    as one. An empty table has one empty level.
     """
     levels = [written(leaf, "leaves")]
     while not levels[-1].where("node > 0").isEmpty():
         child = F.struct("node", "first", "last", "hash")
         up = levels[-1].select("file", F.expr(f"node div {FANOUT}").alias("node"), child.alias("child")).groupBy("file", "node").agg(F.sort_array(F.collect_list("child")).alias("children"))
-        text = F.concat_ws(",", F.transform("children", lambda c: F.concat_ws(":", c["first"], c["last"], F.hex(c["hash"]))))
+        text = F.concat_ws(",", F.transform("children", lambda c: F.concat_ws(":", *(F.coalesce(x.cast("string"), F.lit("-")) for x in (c["first"], c["last"], F.hex(c["hash"]))))))
         levels.append(written(up.select("file", "node", F.element_at("children", 1)["first"].alias("first"), F.element_at("children", -1)["last"].alias("last"), F.unhex(F.sha2(text, 256)).alias("hash")), "level"))
     return levels
 
 
 def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Records that differ between two replicas, from their leaves.
+    """Records that differ between two replicas, from their leaves; tables without a difference, or without rows, give none.
 
     Returns file, first, last (the expected range, or the found one of a record too many),
     id, url, expected_hash, found_hash; null where a replica lacks the record. Records are
@@ -113,49 +145,73 @@ def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, damage: bool = False, id_col: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """Two replicas' records of ``pages(id, url, html)``, each (file, offset, length, hash, id, url).
+def archive(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """WARC files of ``pages(id, url, html)`` as pieces (file, offset, data), written to the shared folder.
 
-    Every page becomes a response record (null url and html: empty), placed in files in the
-    order of the rows. The second replica is the first one, or with ``damage`` one in which
-    every page whose id is divisible by 101 has its last byte of content flipped, and every
-    one with the remainder 50 has lost that byte, the record being padded to its length:
-    planted bit rot, for trying out the audit.
+    Every page becomes a record (null url and html: empty; a null id: none), placed in files
+    in the order of the rows of a partition, after which the files are named.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, offset = TaskContext.get().partitionId(), 0, 0
+        part, seen, offset, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        for batch in batches:
+            for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and (size >= PIECE_BYTES or seen % FILE_RECORDS == 0):
+                    yield piece(part, seen - 1, offset, held)
+                    offset, held, size = offset + size, [], 0
+                if seen % FILE_RECORDS == 0:
+                    offset = 0
+                held.append(record(url, (html or "").encode(), page))
+                size += len(held[-1])
+                seen += 1
+        if held:
+            yield piece(part, seen - 1, offset, held)
+
+    def piece(part: int, last: int, offset: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{last // FILE_RECORDS:06d}.warc"]), pa.array([offset]), pa.array([b"".join(held)], pa.binary())], ["file", "offset", "data"])
+
+    made = pages.select(F.col(id_col).cast("long"), "url", "html").mapInArrow(run, "file string, offset long, data binary")
+    return written(made, "replica", "zstd")
+
+
+def damaged(pieces: DataFrame) -> DataFrame:
+    """A second replica of an :func:`archive`, with planted bit rot, written to the shared folder.
+
+    Of every page whose id is divisible by 101 the last byte of content is flipped; of every
+    one with the remainder 50 that byte is lost and a zero byte stands behind the record's
+    content. Empty pages stay as they are.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in range(0, batch.num_rows, 1000):
-                rows = []
-                for key, url, html in zip(*(batch.slice(some, 1000).column(i).to_pylist() for i in range(3))):
-                    if seen % FILE_RECORDS == 0:
-                        offset = 0
-                    data = record(url, (html or "").encode())
-                    other = data
-                    if damage and key is not None and html and key % 101 in (0, 50):
-                        cut = len(data) - 5
-                        other = data[:cut] + (bytes([data[cut] ^ 1]) if key % 101 == 0 else b"") + data[cut + 1 :] + (b"" if key % 101 == 0 else b"\0")
-                    first = hashlib.sha256(data).digest()
-                    rows.append((f"{part:06d}-{seen // FILE_RECORDS:06d}", offset, len(data), first, first if other is data else hashlib.sha256(other).digest(), key, url))
-                    offset += len(data)
-                    seen += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
-
-    names = ["file", "offset", "length", "hash", "other", "id", "url"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
-    made = written(pages.select(F.col(id_col).cast("long"), "url", "html").mapInArrow(run, "file string, offset long, length long, hash binary, other binary, id long, url string"), "records")
-    return made.drop("other"), made.select("file", "offset", "length", F.col("other").alias("hash"), "id", "url")
+            out = []
+            for data in batch.column(2).to_pylist():
+                rotten = bytearray(data)
+                for at, length, head, body in read_records(data):
+                    page, last = head.get("page-id"), at + length - 5
+                    if page is None or not body or int(page) % 101 not in (0, 50):
+                        continue
+                    if int(page) % 101 == 0:
+                        rotten[last] ^= 1
+                    else:
+                        rotten[last] = 0
+                out.append(bytes(rotten))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["file", "offset", "data"])
+
+    return written(pieces.mapInArrow(run, "file string, offset long, data binary"), "replica", "zstd")
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, n_bytes, expected_sha256, found_sha256): the records of ``pages`` that planted bit rot has changed.
 
-    Null ids are never damaged; repeated rows give repeated results; an empty table, or one
-    without damage, gives none; other columns are not read.
+    Both replicas are written as WARC bytes and read again, each on its own. Null ids are
+    never damaged; repeated rows give repeated results; an empty table, or one without
+    damage, gives none; other columns are not read.
     """
-    expected, found = archive(pages, damage=True)
-    out = audit(leaves(expected), leaves(found))
-    return out.select(F.col("id").alias("page_id"), "url", (F.col("last") - F.col("first")).alias("n_bytes"), F.col("expected_hash").alias("expected_sha256"), F.col("found_hash").alias("found_sha256"))
+    first = archive(pages)
+    second = damaged(first)
+    out = written(audit(leaves(scan(first)), leaves(scan(second))), "audit")
+    dropped(first, second)
+    return out.select(F.col("id").alias("page_id"), F.when(F.col("url") != "", F.col("url")).alias("url"), (F.col("last") - F.col("first")).alias("n_bytes"), F.col("expected_hash").alias("expected_sha256"), F.col("found_hash").alias("found_sha256"))

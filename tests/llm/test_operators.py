@@ -355,18 +355,55 @@ def test_headline_and_text_beside_an_article_stay():
     assert html_density.main_text(f"<article>{body}</article><section>{body}</section>").count("Sentence") == 16
 
 
+def flat_audit(first, second):
+    """The records at the same place of their files that differ, without any tree."""
+    out, sides = [], []
+    for records in (first, second):
+        files = {}
+        for r in records:
+            files.setdefault(r.file, []).append(r)
+        sides.append({f: sorted(rows, key=lambda r: r.offset) for f, rows in files.items()})
+    for f in set(sides[0]) | set(sides[1]):
+        a, b = (s.get(f, []) for s in sides)
+        for k in range(max(len(a), len(b))):
+            x, y = a[k] if k < len(a) else None, b[k] if k < len(b) else None
+            if x is None or y is None or (x.offset, x.length, x.hash) != (y.offset, y.length, y.hash):
+                out.append((f, (x or y).offset, x and bytes(x.hash).hex(), y and bytes(y.hash).hex()))
+    return out
+
+
 def test_fixity(spark, monkeypatch):
     monkeypatch.setattr(merkle_warc, "FILE_RECORDS", 100)
-    rows = [(i, f"http://a/{i}" if i % 3 else None, f"<p>{i}</p>" * (i % 5) if i % 7 else None) for i in range(400)] + [(None, "u", "h"), (101, "u", "h")]
+    monkeypatch.setattr(merkle_warc, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(merkle_warc, "FANOUT", 4)
+    rows = [(i, f"http://a/{i} é%\r\n" if i % 3 else None, f"<p>{i}\r\n\r\n</p>" * (i % 5) if i % 7 else None) for i in range(400)] + [(None, "u", "h"), (101, "u", "h"), (-101, "u", "h")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, hash string")
     found = merkle_warc.audit_pages(pages).collect()
-    assert sorted((r.page_id, r.url) for r in found) == sorted((i, u) for i, u, h in rows if i is not None and h and i % 101 in (0, 50))
+    assert sorted(map(str, ((r.page_id, r.url) for r in found))) == sorted(map(str, ((i, u) for i, u, h in rows if i is not None and h and i % 101 in (0, 50))))
     assert all(r.expected_sha256 != r.found_sha256 for r in found)
-    expected, same = merkle_warc.archive(pages)
-    assert merkle_warc.audit(merkle_warc.leaves(expected), merkle_warc.leaves(same)).count() == 0
+    first = merkle_warc.archive(pages)
+    assert merkle_warc.audit(merkle_warc.leaves(merkle_warc.scan(first)), merkle_warc.leaves(merkle_warc.scan(first))).count() == 0
     assert merkle_warc.audit_pages(pages.limit(0)).count() == 0
 
 
+def test_audits_against_a_flat_comparison(spark, monkeypatch):
+    """Rot in content and in headers, a lost record, a cut file and a file too many."""
+    monkeypatch.setattr(merkle_warc, "FANOUT", 3)
+    rng = np.random.default_rng(8)
+    files = {f"f{k}": [merkle_warc.record(f"http://a/{k}/{i}", bytes(rng.integers(97, 123, int(rng.integers(0, 90))).astype(np.uint8)), 100 * k + i) for i in range(n)] for k, n in enumerate((40, 1, 27, 3, 9))}
+    second = {f: list(r) for f, r in files.items()}
+    second["f0"][17] = second["f0"][17].replace(b"http", b"hxtp")
+    second["f2"].pop(20)
+    second["f3"][1] = second["f3"][1].replace(b"WARC/1.1", b"WARX/1.1")
+    second["f4"][-1] = second["f4"][-1][:-7]
+    second["f9"] = [merkle_warc.record("u", b"body")]
+    table = lambda side: spark.createDataFrame([(f, 0, bytearray(b"".join(r))) for f, r in side.items()], "file string, offset long, data binary")
+    a, b = (merkle_warc.scan(table(side)) for side in (files, second))
+    found = merkle_warc.audit(merkle_warc.leaves(a), merkle_warc.leaves(b)).collect()
+    assert sorted(map(str, ((r.file, r["first"], r.expected_hash, r.found_hash) for r in found))) == sorted(map(str, flat_audit(a.collect(), b.collect())))
+    assert {r.file for r in found} == {"f0", "f2", "f3", "f4", "f9"} and sum(r.file == "f0" for r in found) == 1
+
+
 def test_fixity_of_lost_and_added_records(spark):
     make = lambda rows: merkle_warc.leaves(spark.createDataFrame([(f, o, 10, bytes([h]), o, "u") for f, o, h in rows], "file string, offset long, length long, hash binary, id long, url string"))
     whole = [(f, 10 * i, i % 200) for f in ("a", "b", "c") for i in range(40 if f == "a" else 3)]
