@@ -125,10 +125,10 @@ def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
     for level in range(top - 1, -1, -1):
         own = [t.select("file", "node", *(F.col(c).alias(f"{side}_{c}") for c in t.columns if c not in ("file", "node"))) for side, t in (("e", left[level]), ("f", right[level]))]
         if wanted is not None:
-            step = F.explode(F.sequence(F.col("node") * FANOUT, F.col("node") * FANOUT + FANOUT - 1))
             same = level + 1 < top and (left[level] is left[level + 1] or right[level] is right[level + 1])
-            down = (wanted.select("file").distinct().withColumn("all", F.lit(1)) if same else wanted.select("file", step.alias("node")))
-            own = [o.join(down, ["file"] if same else ["file", "node"], "left_semi") for o in own]
+            parent = F.lit(0) if same else F.expr(f"node div {FANOUT}")
+            down = wanted.withColumnRenamed("node", "parent")
+            own = [o.withColumn("parent", parent.cast("long")).join(down, ["file", "parent"], "left_semi").drop("parent") for o in own]
         both = own[0].join(own[1], ["file", "node"], "full")
         differs = ~(F.col("e_hash").eqNullSafe(F.col("f_hash")) & F.col("e_first").eqNullSafe(F.col("f_first")) & F.col("e_last").eqNullSafe(F.col("f_last")))
         both = both.where(differs)
