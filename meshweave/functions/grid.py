@@ -180,9 +180,11 @@ def chunks_of_positions(positions: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def chunk_conflicts(own: DataFrame, other: DataFrame) -> DataFrame:
     """(chunk, other_chunk) from two bounds tables of axes of one length: chunks of the other that a neighbour would also write."""
-    a, b = own.alias("a"), other.alias("b")
-    met = a.join(b, F.expr("a.lo < b.hi and b.lo < a.hi and (b.lo < a.lo or b.hi > a.hi)"))
-    return met.select(F.col("a.chunk").alias("chunk"), F.col("b.chunk").alias("other_chunk"))
+    longest = [t.agg(F.max(F.col("hi") - F.col("lo")).alias("w")).first()["w"] or 1 for t in (own, other)]
+    stretches = F.explode(F.expr(f"sequence(lo div {max(longest)}, (hi - 1) div {max(longest)})"))  # two at most for a chunk
+    a, b = (t.where("lo < hi").withColumn("stretch", stretches).select("stretch", *(F.col(c).alias(f"{side}_{c}") for c in ("chunk", "lo", "hi"))) for side, t in (("a", own), ("b", other)))
+    met = a.join(b, "stretch").where("a_lo < b_hi and b_lo < a_hi and (b_lo < a_lo or b_hi > a_hi)")
+    return met.select(F.col("a_chunk").alias("chunk"), F.col("b_chunk").alias("other_chunk")).distinct()
 
 
 def subset_sizes(sizes: DataFrame, factor: int) -> DataFrame:

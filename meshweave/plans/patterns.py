@@ -10,10 +10,11 @@ from dataclasses import dataclass, replace
 from itertools import product
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import settings_digest, without_empty
+from ..functions.hashing import fingerprint
 
 
 class CombineOp(enum.Enum):
@@ -150,13 +151,13 @@ class FilePattern:
 
     def get_merkle_list(self) -> list[bytes]:
         """A hash of the settings, then one for each file, chained over the urls in order."""
-        settings = {
+        settings = {  # fixed values: the names, and the order of hashing below
             "fsspec_open_kwargs": self.open_options,
             "query_string_secrets": self.query_string_secrets,
             "file_type": self.file_type,
             "nitems_per_file": {d.name: d.nitems_per_file for d in self.combine_dims if isinstance(d, ConcatDim)},
         }
-        chain = [settings_digest(without_empty(settings.items()))]
+        chain = [fingerprint(settings)]
         for _, url in self.items():
             chain.append(hashlib.sha256(chain[-1] + hashlib.sha256(url.encode()).digest()).digest())
         return chain
@@ -199,9 +200,19 @@ def matrix(axes: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 def merkle_chain(files: DataFrame, root: bytes) -> DataFrame:
     """(n, hash): the chained hash after each prefix of ``files(row, url)``, hex; n = 0 is the root's.
 
-    One ordered fold over the list of files, a row for each; the fold's state is the list of hashes.
+    A chain goes from file to file, so one task streams the list of files in order and holds
+    the last hash. Null urls count as ''; no files give the root alone.
     """
-    urls = F.transform(F.sort_array(F.collect_list(F.struct("row", "url"))), lambda x: x["url"])
-    step = lambda chain, url: F.concat(chain, F.array(F.unhex(F.sha2(F.concat(F.element_at(chain, -1), F.unhex(F.sha2(url.cast("binary"), 256))), 256))))
-    chain = F.aggregate("urls", F.array(F.lit(bytearray(root))), step)
-    return files.agg(urls.alias("urls")).select(F.posexplode(chain).alias("n", "h")).select("n", F.lower(F.hex("h")).alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = bytes(root), 0
+        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64()), "hash": [last.hex()]})
+        for batch in batches:
+            out = []
+            for url in batch.column(1).to_pylist():
+                last = hashlib.sha256(last + hashlib.sha256((url or "").encode()).digest()).digest()
+                out.append(last.hex())
+            yield pa.RecordBatch.from_pydict({"n": pa.array(range(n + 1, n + 1 + len(out)), pa.int64()), "hash": pa.array(out, pa.string())})
+            n += len(out)
+
+    return files.select("row", "url").repartition(1).sortWithinPartitions("row").mapInArrow(run, "n long, hash string")

@@ -49,6 +49,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _store_root(spark: SparkSession) -> str:
     """A new folder for a query's own store: in the shared folder if the cluster names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared}/stores/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="meshweave-store-")
 
 
@@ -289,10 +291,15 @@ def chunk_slice(spark, sf_dir):
     return irregular.unionByName(grid.chunk_spans(spark, CHUNK, n).select(F.lit("uniform").alias("kind"), "chunk", "lo", "hi"))
 
 
-@query("SELECT event_id AS position, event_id // 1000 AS uniform, CASE WHEN event_id < 2 THEN 0 WHEN event_id < 6 THEN 1 WHEN event_id < 9 THEN 2 END::BIGINT AS chunk FROM events WHERE event_id < 9")
+def _day_chunks(spark, sf_dir) -> DataFrame:
+    """(chunk, size): an axis of all events in chunks of whole days."""
+    return _days(spark, sf_dir).select(F.col("position").alias("chunk"), F.col("len").alias("size"))
+
+
+@query(f"WITH {SPANS} SELECT event_id AS position, event_id // 1000 AS uniform, position AS chunk FROM events JOIN spans ON start <= event_id AND event_id < start + len".replace("position AS chunk", "spans.position AS chunk"))
 def chunk_of_index(spark, sf_dir):
-    positions = _table(spark, sf_dir, "events").where("event_id < 9").select(F.col("event_id").alias("position"), grid.chunk_of("event_id", CHUNK).alias("uniform"))
-    return grid.chunks_of_positions(positions, grid.bounds_table(_irregular(spark, (2, 4, 3))))
+    positions = _table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), grid.chunk_of("event_id", CHUNK).alias("uniform"))
+    return grid.chunks_of_positions(positions, grid.bounds_table(_day_chunks(spark, sf_dir)))
 
 
 @query(f"WITH {SPANS} SELECT position, unnest(range(start // 1000, (start + len - 1) // 1000 + 1)) AS chunk FROM spans")
@@ -300,25 +307,26 @@ def chunks_of_slice(spark, sf_dir):
     return align.offsets(_days(spark, sf_dir)).select("position", F.explode(grid.chunks_met("start", "len", CHUNK)).alias("chunk"))
 
 
-@query("SELECT CAST(chunk AS BIGINT) AS chunk, CAST(other_chunk AS BIGINT) AS other_chunk FROM (VALUES (0, 0), (1, 0), (1, 1), (2, 1), (3, 2), (4, 2)) t(chunk, other_chunk)")
+@query(f"""WITH {SPANS}, u AS (SELECT i AS other_chunk, i * 1000 AS lo, least((i + 1) * 1000, n) AS hi FROM (SELECT count(*) AS n FROM events), range(1000000) r(i) WHERE i * 1000 < n)
+    SELECT CAST(position AS BIGINT) AS chunk, other_chunk FROM spans, u WHERE start < hi AND lo < start + len AND (lo < start OR hi > start + len)""")
 def chunk_conflicts(spark, sf_dir):
-    return grid.chunk_conflicts(grid.bounds_table(_irregular(spark, (2, 4, 3, 4, 2))), grid.bounds_table(_irregular(spark, (5, 4, 6))))
+    days = grid.bounds_table(_day_chunks(spark, sf_dir))
+    return grid.chunk_conflicts(days, grid.chunk_spans(spark, CHUNK, _table(spark, sf_dir, "events").count()))
 
 
-@query("SELECT CAST(chunk AS BIGINT) AS chunk, CAST(size AS BIGINT) AS size FROM (VALUES (0, 1), (1, 1), (2, 2), (3, 2), (4, 1), (5, 2)) t(chunk, size)")
+@query(f"WITH {DAYS} SELECT CAST(position * 4 + part AS BIGINT) AS chunk, CAST(len // 4 + CASE WHEN part = 3 THEN len % 4 ELSE 0 END AS BIGINT) AS size FROM days, (SELECT unnest(range(4)) AS part)")
 def chunk_subset(spark, sf_dir):
-    return grid.subset_sizes(_irregular(spark, (2, 4, 3)), 2)
+    return grid.subset_sizes(_day_chunks(spark, sf_dir), 4)
 
 
-@query("SELECT CAST(chunk AS BIGINT) AS chunk, CAST(size AS BIGINT) AS size FROM (VALUES (0, 6), (1, 7), (2, 2)) t(chunk, size)")
+@query(f"WITH {DAYS} SELECT CAST(position // 4 AS BIGINT) AS chunk, CAST(sum(len) AS BIGINT) AS size FROM days GROUP BY 1")
 def chunk_consolidate(spark, sf_dir):
-    return grid.consolidated_sizes(_irregular(spark, (2, 4, 3, 4, 2)), 2)
+    return grid.consolidated_sizes(_day_chunks(spark, sf_dir), 4)
 
 
-@query("SELECT length, part, CAST(length // 5 + CASE WHEN part = 4 THEN length % 5 ELSE 0 END AS BIGINT) AS size FROM (VALUES (5::BIGINT), (6::BIGINT), (13::BIGINT)) t(length), (SELECT unnest(range(5)) AS part)")
+@query(f"WITH {DAYS} SELECT CAST(position AS BIGINT) AS position, part, CAST(len // 7 + CASE WHEN part = 6 THEN len % 7 ELSE 0 END AS BIGINT) AS size FROM days, (SELECT unnest(range(7)) AS part)")
 def calc_subsets(spark, sf_dir):
-    lengths = spark.createDataFrame([(n, n) for n in (5, 6, 13)], "chunk long, size long")
-    return grid.subset_sizes(lengths, 5).select(F.expr("chunk div 5").alias("length"), F.expr("chunk % 5").alias("part"), "size")
+    return grid.subset_sizes(_day_chunks(spark, sf_dir), 7).select(F.expr("chunk div 7").alias("position"), F.expr("chunk % 7").alias("part"), "size")
 
 
 @query("SELECT i AS chunk, i * 999 AS lo, least((i + 1) * 999, n) AS hi FROM (SELECT count(*) AS n FROM orders), range(1000000) r(i) WHERE i * 999 < n")

@@ -238,9 +238,11 @@ def test_cells(spark):
 
 
 def test_bucket(spark):
-    rows = spark.createDataFrame([(p,) for p in (0, 4, 5, 10, 25, 50, 100)], "p long")
-    found = rows.select(references.bucket(F.col("p"), F.lit(0), F.lit(100), F.lit(101)).alias("b")).collect()
-    assert [r.b for r in found] == [0, 0, 1, 2, 5, 10, 21]
+    """Equal stretches of the range, one for every five positions or a part of them."""
+    for lo, hi, n in ((0, 33, 34), (7, 60, 11), (0, 9, 10)):
+        stretches = -(-n // 5)
+        rows = spark.range(lo, hi + 1).select("id", references.bucket(F.col("id"), F.lit(lo), F.lit(hi), F.lit(n)).alias("b")).collect()
+        assert all(r.b == int((r.id - lo) / ((hi - lo) / stretches)) for r in rows) and {r.b for r in rows} == set(range(stretches + 1))
     assert references.bucketed(spark.createDataFrame([(3,)], "p long"), "p").first()["bucket"] == 0
 
 

@@ -28,26 +28,44 @@ def test_secrets():
     assert names.with_secrets("http://a/b", None) == "http://a/b"
 
 
-def test_digests():
-    class Kind(enum.Enum):
-        A = "a"
+class Kind(enum.Enum):
+    A = "a"
 
-    class Hashed:
-        def sha256(self):
-            return b"\x01\x02"
 
-    assert hashing.settings_digest({"b": Kind.A, "a": Hashed()}) == hashlib.sha256('{"a":"0102","b":"a"}'.encode()).digest()
-    assert hashing.settings_digest({"k": "é"}) == hashlib.sha256('{"k":"é"}'.encode()).digest()
-    with pytest.raises(TypeError):
-        hashing.settings_digest({"a": object()})
-    assert hashing.without_empty([("a", None), ("b", []), ("c", 0), ("d", False), ("e", {}), ("f", "x")]) == {"c": 0, "d": False, "f": "x"}
+class Hashed:
+    def sha256(self):
+        return b"\x01\x02"
+
+
+@dataclass
+class Inner:
+    note: str = ""
+    n: int | None = None
+
 
-    @dataclass
-    class Thing:
-        a: int
-        b: str = ""
+@dataclass
+class Outer:
+    size: int
+    inner: Inner
+    tags: tuple = ()
+    off: bool = False
 
-    assert hashing.dataclass_digest(Thing(1)) == hashing.dataclass_digest(Thing(1, "x"), ignore=["b"]) == hashing.settings_digest({"a": 1})
+
+@pytest.mark.parametrize("settings,text", [
+    ({"b": Kind.A, "a": Hashed()}, '{"a":"0102","b":"a"}'), ({"k": "é", "n": None, "l": [], "z": 0, "f": False}, '{"f":false,"k":"é","z":0}'), ({"k": {"n": None, "m": {}}}, '{"k":{"m":{},"n":null}}'),
+    (Outer(3, Inner("x")), '{"inner":{"note":"x"},"off":false,"size":3}'), (Outer(0, Inner(), ("t", Kind.A)), '{"off":false,"size":0,"tags":["t","a"]}'), ({}, "{}"),
+])
+def test_fingerprints(settings, text):
+    assert hashing.fingerprint(settings) == hashlib.sha256(text.encode()).digest()
+
+
+def test_fingerprints_refuse_and_ignore():
+    assert hashing.fingerprint(Outer(1, Inner(n=5)), ignore=["inner"]) == hashing.fingerprint({"size": 1, "off": False})
+    for bad in (5, "text", Outer, [1]):
+        with pytest.raises(ValueError):
+            hashing.fingerprint(bad)
+    with pytest.raises(TypeError):
+        hashing.fingerprint({"a": object()})
 
 
 def test_promotion(spark):
