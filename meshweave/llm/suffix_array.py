@@ -17,6 +17,7 @@ that a string may have, until the groups are small.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 GRAM = 16
-#: Bytes of text hashed at once, contexts compared at once, and the rows from which a gram is split.
-TEXT_BLOCK, CONTEXT_BLOCK, HOT_ROWS = 1 << 18, 1 << 14, 1 << 12
+#: Bytes of text hashed at once, contexts compared at once, and the rows from which a group is split.
+TEXT_BLOCK, CONTEXT_BLOCK, HOT_ROWS = 1 << 18, 1 << 14, 1 << 18
+#: Documents meet their rows, and grams their contexts, in so many parts one after the other, to halve what lies on disks.
+SLICES = 2
 #: Turns of a periodic run that one row stands for.
 TURNS = 1 << 18
 
@@ -223,7 +226,7 @@ def _shared(places: DataFrame) -> DataFrame:
 
 def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
     """``shared`` with the context of every row: texts and rows meet by document, each text before its rows."""
-    names = ["gram", "doc", "row", "at", "shape", "context"]
+    names = ["gram", "doc", "row", "at", "shape", "context", "slice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = np.zeros(0, np.uint8)
@@ -244,18 +247,16 @@ def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
                 inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
                 found = data[np.repeat(base[rows] + place - before, size) + inner]
                 context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(found)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(5)), context], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(5)), context, batch.column(6).take(pa.array(rows))], names)
             if is_text.any():
                 last = int(np.flatnonzero(is_text)[-1])
                 carried = raw[ends[last] - ends[0] : ends[last + 1] - ends[0]].copy()
 
     null = F.lit(None)
-    asked = shared.select("doc", "row").distinct()
-    wanted = texts.join(asked, (texts["doc_id"] == asked["doc"]) & (texts["row"] == asked["row"]), "left_semi")
-    wanted = wanted.select(null.cast("long").alias("gram"), F.col("doc_id").alias("doc"), "row", null.cast("int").alias("at"), null.cast("int").alias("shape"), "text")
-    both = wanted.union(shared.select("gram", "doc", "row", "at", "shape", null.cast("string")))
+    wanted = texts.where(f"doc_id is not null and octet_length(text) >= {min_len}").select(null.cast("long").alias("gram"), F.col("doc_id").alias("doc"), "row", null.cast("int").alias("at"), null.cast("int").alias("shape"), "text", null.cast("int").alias("slice"))
+    both = wanted.union(shared.select("gram", "doc", "row", "at", "shape", null.cast("string"), "slice"))
     met = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("at").asc_nulls_first())
-    return met.mapInArrow(run, "gram long, doc long, row long, at int, shape int, context binary")
+    return met.mapInArrow(run, "gram long, doc long, row long, at int, shape int, context binary, slice int")
 
 
 def _common(context: pa.Array, group: np.ndarray, before: np.ndarray, after: np.ndarray, least: np.ndarray, a: int, b: int, min_len: int) -> tuple[np.ndarray, ...]:
@@ -341,7 +342,7 @@ def _hot_minima(contexts: DataFrame, min_len: int) -> DataFrame:
 
     A group of contexts may share strings that begin a to b bytes before the anchor; equal
     ones agree in the a bytes before the gram and in the bytes behind it up to b bytes short
-    of their end. So a group over CONTEXT_BLOCK is dealt twice, for each half of its range,
+    of their end. So a group over HOT_ROWS is dealt twice, for each half of its range,
     by those bytes, and again, until it is small or the range is one place. There the group
     is an interval of the transform that has reached ``min_len``: its minimum is taken.
     """
@@ -360,22 +361,26 @@ def _hot_minima(contexts: DataFrame, min_len: int) -> DataFrame:
                 which, first, last, low = rows[which[hit]], first[hit], last[hit], low[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(gram[which]), pa.array(before[which]), batch.column(7).take(pa.array(which)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(low)], names)
 
-    ranges, out = contexts.withColumn("a", F.lit(0)).withColumn("b", F.lit(left)), None
+    out, a_or_b = [], F.expr("cast(floor((a + b) / 2) as int)")
+    dealt = written(contexts.withColumn("a", F.lit(0)).withColumn("b", F.lit(left)).withColumn("deal", F.xxhash64("gram", "a", "b", part)), "dealt")
     while True:
-        dealt = written(ranges.withColumn("deal", F.xxhash64("gram", "a", "b", part)), "dealt")
-        big = written(dealt.groupBy("deal").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXT_BLOCK).select("deal"), "big")
-        small = dealt.join(big, "deal", "left_anti").select("deal", "a", "b", "gram", "before", after.cast("int").alias("after"), "least", "context", "most")
-        found = small.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "gram long, before int, context binary, first int, last int, least long")
-        out = found if out is None else out.union(found)
+        big = written(dealt.groupBy("deal").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).withColumn("big", F.lit(True)).drop("n"), "big")
+        marked = dealt.join(big, "deal", "left")
+        small = marked.where("big is null").select("deal", "a", "b", "gram", "before", after.cast("int").alias("after"), "least", "context", "most")
+        out.append(written(small.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "gram long, before int, context binary, first int, last int, least long"), "minima"))
         if big.isEmpty():
-            return out
-        rest = dealt.join(big, "deal", "left_semi").drop("deal")
+            dropped(dealt, big)
+            return functools.reduce(DataFrame.union, out)
+        rest = marked.where("big").drop("deal", "big")
         alone = rest.where("a = b").withColumn("string", F.expr(f"substring(context, before - a + 1, {min_len})"))
         lowest = alone.groupBy("a", "string").agg(F.min("least").alias("low"))
-        out = out.union(alone.join(lowest, ["a", "string"]).where("low < most").select(*CONTEXT, F.col("a").alias("first"), F.col("a").alias("last"), F.col("low").alias("least")))
-        halves = F.expr("explode(array(struct(a, cast(floor((a + b) / 2) as int) as b), struct(cast(floor((a + b) / 2) as int) + 1 as a, b)))")
+        out.append(written(alone.join(lowest, ["a", "string"]).where("low < most").select(*CONTEXT, F.col("a").alias("first"), F.col("a").alias("last"), F.col("low").alias("least")), "minima"))
+        halves = F.explode(F.array(F.struct("a", a_or_b.alias("b")), F.struct((a_or_b + 1).alias("a"), "b")))
         ranges = rest.where("a < b").withColumn("half", halves).withColumn("a", F.col("half.a")).withColumn("b", F.col("half.b")).drop("half")
         ranges = ranges.where(F.greatest(F.col("a"), after) <= F.least("b", "before"))
+        finer = written(ranges.withColumn("deal", F.xxhash64("gram", "a", "b", part)), "dealt")
+        dropped(dealt, big)
+        dealt = finer
 
 
 def _hot_lost(contexts: DataFrame, min_len: int) -> DataFrame:
@@ -399,15 +404,17 @@ def repeats(texts: DataFrame, min_len: int = 50) -> DataFrame:
     count once; an empty table gives none.
     """
     shared = written(_shared(_places(texts, min_len)), "shared")
-    hot = written(shared.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("gram"), "hot")
-    contexts = written(_contexts(texts, shared, min_len), "contexts", "zstd")
-    dropped(shared)
-    if hot.isEmpty():
-        lost = written(_lost(contexts, min_len), "lost")
-    else:
-        cold = _lost(contexts.join(hot, "gram", "left_anti"), min_len)
-        lost = written(cold.union(_hot_lost(contexts.join(hot, "gram", "left_semi"), min_len)), "lost")
-    dropped(contexts, hot)
+    hot = written(shared.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).withColumn("slice", F.lit(-1)).drop("n"), "hot")
+    any_hot = not hot.isEmpty()
+    sliced = shared.join(hot, "gram", "left").withColumn("slice", F.coalesce("slice", F.pmod(F.xxhash64("gram"), F.lit(SLICES)).cast("int")))
+    half = lambda df, doc, k: df.where(F.pmod(F.xxhash64(doc), F.lit(SLICES)) == k)
+    halves = [written(_contexts(half(texts, "doc_id", k), half(sliced, "doc", k), min_len), "contexts", "zstd") for k in range(SLICES)]
+    contexts = functools.reduce(DataFrame.union, halves)
+    dropped(shared, hot)
+    parts = [written(_hot_lost(contexts.where("slice = -1"), min_len), "lost")] if any_hot else []
+    parts += [written(_lost(contexts.where(f"slice = {k}"), min_len), "lost") for k in range(SLICES)]
+    dropped(*halves)
+    lost = functools.reduce(DataFrame.union, parts)
     return lost.groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
 
 

@@ -302,7 +302,7 @@ def odd_repeats():
     return rows
 
 
-@pytest.mark.parametrize("hot,block", [(1 << 12, 1 << 14), (8, 1 << 14), (8, 5), (1, 1)])
+@pytest.mark.parametrize("hot,block", [(1 << 18, 5), (8, 1 << 14), (1, 1)])
 def test_repeats(spark, monkeypatch, hot, block):
     monkeypatch.setattr(suffix_array, "HOT_ROWS", hot)
     monkeypatch.setattr(suffix_array, "CONTEXT_BLOCK", block)
