@@ -45,3 +45,14 @@ def aligned(start: Column, stop: Column, chunk: int, size: Column | int) -> Colu
     """Whether a region begins on a chunk and ends on one or with the array."""
     size = F.lit(size) if isinstance(size, int) else size
     return (F.pmod(start, F.lit(chunk)) == 0) & ((F.pmod(stop, F.lit(chunk)) == 0) | (stop == size))
+
+
+def agreed(cells: DataFrame, dims: Sequence[str], variable: str) -> DataFrame:
+    """(<dim>_pos ..., variable): the labels that several fragments give for the same positions; different ones are an error.
+
+    NaN agrees with NaN; a null says nothing. The labels are reduced where they lie before they move.
+    """
+    keys = [f"{d}_pos" for d in dims]
+    both = cells.groupBy(*keys).agg(F.min(variable).alias("lo"), F.max(variable).alias("hi"))
+    told = F.lit(f"fragments differ in the labels of {variable}")
+    return both.select(*keys, F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(F.raise_error(told)).alias(variable))

@@ -63,6 +63,47 @@ def validate(parts: DataFrame, dims: Sequence[str], group: Sequence[str]) -> Dat
     return out.select(*group, "full", F.expr(" and ".join(f"ok_{d}" for d in dims)).alias("contiguous"))
 
 
+def _refuse_large(sizes: Sequence[int], code: np.dtype) -> None:
+    if (size := int(np.prod(sizes, dtype=object)) * code.itemsize) > BLOCK_BYTES:
+        raise ValueError(f"a chunk of {size} bytes is more than one task may hold ({BLOCK_BYTES})")
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def paste(parts: DataFrame, dtype: str, chunks: Mapping[str, int], fill: float = 0) -> DataFrame:
+    """(<dim>_chunk ..., n_cells, data): parts of chunks (<dim>_chunk, <dim>_lo, <dim>_len ..., data) as whole blocks.
+
+    What no part holds is ``fill``. A chunk over BLOCK_BYTES is refused, and parts that
+    overlap are an error, so a chunk's parts are never more than one block's bytes.
+    """
+    dims, code = list(chunks), np.dtype(dtype)
+    sizes = [chunks[d] for d in dims]
+    _refuse_large(sizes, code)
+    keys = [f"{d}_chunk" for d in dims]
+    schema = "".join(f"`{k}` long, " for k in keys) + "n_cells long, data binary"
+    out_schema = _arrow_schema(schema)
+
+    def block(table: pa.Table) -> pa.Table:
+        data, known = np.full(sizes, fill, code), np.zeros(sizes, bool)
+        for batch in table.to_batches():
+            places = [batch.column(f"{d}_{c}").to_pylist() for d in dims for c in ("lo", "len")]
+            for i, raw in enumerate(batch.column("data")):
+                lo, n = [p[i] for p in places[::2]], [p[i] for p in places[1::2]]
+                box = tuple(slice(a, a + b) for a, b in zip(lo, n))
+                if known[box].any():
+                    raise ValueError("a cell comes more than once")
+                data[box] = np.frombuffer(raw.as_buffer(), code).reshape(n)
+                known[box] = True
+        return pa.table([*([table.column(k)[0].as_py()] for k in keys), [int(known.sum())], [data.tobytes()]], names=[*keys, "n_cells", "data"]).cast(out_schema)
+
+    return parts.groupBy(*keys).applyInArrow(block, schema)
+
+
 def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, int], chunks: Mapping[str, int], fill: float = 0, by: Sequence[str] = ()) -> DataFrame:
     """(*by, <dim>_chunk ..., n_cells, data): the cells of each target chunk as one block of whole chunk size in C order.
 
@@ -72,8 +113,7 @@ def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, in
     """
     dims, code = list(chunks), np.dtype(dtype)
     sizes = [chunks[d] for d in dims]
-    if (size := int(np.prod(sizes, dtype=object)) * code.itemsize) > BLOCK_BYTES:
-        raise ValueError(f"a chunk of {size} bytes is more than one task may hold ({BLOCK_BYTES})")
+    _refuse_large(sizes, code)
     keys = [*by, *(f"{d}_chunk" for d in dims)]
 
     def block(table: pa.Table) -> pa.Table:
@@ -90,10 +130,7 @@ def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, in
     cells = with_chunks(cells.select(*by, *(f"{d}_pos" for d in dims), variable), chunks)
     types = dict(cells.dtypes)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "n_cells long, data binary"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+    out_schema = _arrow_schema(schema)
     return cells.groupBy(*keys).applyInArrow(block, schema)
 
 

@@ -6,14 +6,18 @@ import json
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rechunk import assemble
-from ..operators.schema import target_chunks, with_prefixed_attrs
+from ..operators.align import index_items
+from ..operators.combine import agreed
+from ..operators.rechunk import assemble, paste
+from ..operators.schema import determine_schema, target_chunks, with_prefixed_attrs
 from ..sources import zarr3
+from ..sources.openers import open_cells, open_parts, scan_schemas
 from ..sources.storage import RequiredAtRuntime, Target
 from .patterns import CombineOp, Dimension
 
@@ -89,8 +93,45 @@ class StoreToZarr:
         given = self.dynamic_chunking_fn(schema, **self.dynamic_chunking_fn_kwargs) if self.dynamic_chunking_fn else self.target_chunks
         return target_chunks(schema, given)
 
-    def write(self, schema: dict, variables: Mapping[str, DataFrame]) -> Target:
-        """``variables``: (<dim>_pos ..., name) frames of global positions, from 0 for what is appended too; the store's folder."""
+    def build(self, files: DataFrame, file_type: str = "netcdf3", cache: str | None = None, secrets: Mapping[str, str] | None = None, auth: tuple[str, str] | None = None) -> Target:
+        """From a table of files to the store: headers, one schema, offsets, parts of chunks, blocks; the store's folder.
+
+        ``files`` has url and <dim>_pos of every combined dimension. Data without one of the
+        concat dimensions is taken from the files that are first in it. All files with a
+        coordinate must agree in its labels; those of an existing store aren't compared.
+        """
+        axes, given = list(self.combine_dims), {"file_type": file_type, "cache": cache, "secrets": secrets, "auth": auth}
+        keys = [f"{a.name}_pos" for a in axes]
+        along = [a.name for a in axes if a.operation is CombineOp.CONCAT]
+        files = files.select(*keys, "url")
+        rows = scan_schemas(files, tuple(axes), **given)
+        schema = determine_schema(rows, axes)
+        lens = [rows.dims.where(F.col("dim") == d).select("dim", F.col(f"{d}_pos").alias("position"), "len").distinct() for d in along]
+        moved = {self.append_dim: self.append_offset()} if self.append_dim else None
+        placed = index_items(files, reduce(DataFrame.unionByName, lens), along, moved) if lens else files
+
+        def parts(name: str, v: dict) -> Callable[[dict[str, int]], DataFrame]:
+            own = placed.join(rows.vars.where(F.col("name") == name).select(*keys), keys, "left_semi")
+            for d in along:
+                if d not in v["dims"]:
+                    own = own.where(F.col(f"{d}_pos") == 0)
+            return lambda sizes: open_parts(own.select("url", *(f"{d}_start" for d in along if d in v["dims"])), name, v["dtype"], sizes, **given)
+
+        def labels(name: str, v: dict) -> DataFrame:
+            own = placed.join(rows.vars.where(F.col("name") == name).select(*keys), keys, "left_semi")
+            start = F.col("begin") - (moved or {}).get(name, 0) if name in along else F.lit(0)
+            own = own.select("url", (F.col(f"{name}_start") if name in along else F.lit(0)).cast("long").alias("begin"))
+            cells = open_cells(own, name, tuple(v["dims"]), v["dtype"], **given).withColumn(f"{name}_pos", F.col(f"{name}_pos") + start)
+            return agreed(cells, v["dims"], name)
+
+        return self.write(schema, {k: labels(k, v) for k, v in schema["coords"].items()} | {k: parts(k, v) for k, v in schema["data_vars"].items()})
+
+    def write(self, schema: dict, variables: Mapping[str, DataFrame | Callable[[dict[str, int]], DataFrame]]) -> Target:
+        """``variables``: (<dim>_pos ..., name) frames of global positions, from 0 for what is appended too; the store's folder.
+
+        Instead of a frame of cells, a function of the chunks' lengths may give the parts of
+        chunks (see ``paste``), placed in the whole store.
+        """
         schema = with_prefixed_attrs(schema, self.attrs, self.attr_prefix)
         chunks, target, moved = self.chunks(schema), self.target, self.append_offset()
         every = {**schema["coords"], **schema["data_vars"]}
@@ -118,9 +159,12 @@ class StoreToZarr:
                 zarr3.write_document(target, name, document)
         for name, document in documents.items():
             dims, cells = list(every[name]["dims"]), variables[name]
+            sizes = dict(zip(dims, document["chunk_grid"]["configuration"]["chunk_shape"]))
+            if callable(cells):
+                zarr3.write_blocks(paste(cells(sizes), document["data_type"], sizes, document["fill_value"]), target, name, document, dims)
+                continue
             if moved:
                 cells = cells.withColumn(f"{self.append_dim}_pos", F.col(f"{self.append_dim}_pos") + moved)
-            sizes = dict(zip(dims, document["chunk_grid"]["configuration"]["chunk_shape"]))
             blocks = assemble(cells, name, document["data_type"], dict(zip(dims, document["shape"])), sizes, document["fill_value"])
             zarr3.write_blocks(blocks, target, name, document, dims)
         if moved:

@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from .operators import align, cells, combine, rechunk, references, schema
 from .operators.schema import SchemaRows
 from .plans.patterns import CombineOp, Dimension, matrix, merkle_chain
 from .plans.store import StoreToZarr
-from .sources import zarr3
+from .sources import netcdf3, openers, zarr3
+from .sources.storage import Target
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +31,8 @@ ORACLE: dict[str, str] = {}
 TIME, VARIABLE = Dimension("time", CombineOp.CONCAT), Dimension("variable", CombineOp.MERGE)
 #: Chunk of the event axis; vectors and components of a chunk of the embedding matrix.
 CHUNK, VECTORS, COMPONENTS = 1000, 100, 16
+#: Events of a file where events are written as files; chunks don't end with files.
+FILE = 700
 
 
 def query(sql: str | None = None):
@@ -509,6 +514,54 @@ def consolidate_coords(spark, sf_dir):
     return total.select(F.lit(names[0]).alias("coord"), F.lit(n).alias("n_chunks"), F.lit(documents["time"]["chunk_grid"]["configuration"]["chunk_shape"] == documents["time"]["shape"]).alias("consolidated"), "total")
 
 
+# From files to a store
+
+
+def _event_files(spark, sf_dir, root: str) -> DataFrame:
+    """(time_pos, variable_pos, url): events written as NetCDF files of FILE events, one for the values and one for the users."""
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_id")
+        k, time = table.column("file")[0].as_py(), table.column("event_id").to_numpy()
+        held = {"value": table.column("value").to_numpy(), "user": table.column("user_id").to_numpy()}
+        for name, array in held.items():
+            variables = {"time": (("time",), time, {"units": "events"}), "station": (("station",), np.array([7, 9], "i4"), {}), name: (("time",), array, {"long_name": name})}
+            Target(root).write(f"{name}-{k}.nc", netcdf3.write({"time": len(time), "station": 2}, variables, {"title": "events"}, "time"))
+        return pa.table({"time_pos": pa.array([k] * 2, pa.int64()), "variable_pos": pa.array([0, 1], pa.int64()), "url": [f"{root}/{name}-{k}.nc" for name in held]})
+
+    events = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / FILE).alias("file"), "event_id", "value", "user_id")
+    files = events.groupBy("file").applyInArrow(write, "time_pos long, variable_pos long, url string")
+    files.write.parquet(f"{root}/files")  # so that no later use writes the inputs again
+    return spark.read.parquet(f"{root}/files")
+
+
+@query("SELECT event_id AS time_pos, event_id AS time, value, CAST(user_id AS INTEGER) AS user FROM events")
+def store_from_files(spark, sf_dir):
+    """NetCDF files of two variables to one store: headers, schema, offsets, parts of chunks, blocks; the store's cells."""
+    root = _store_root(spark)
+    files = _event_files(spark, sf_dir, f"{root}/inputs")
+    target = StoreToZarr("events.zarr", [TIME, VARIABLE], root, {"time": CHUNK}, encoding={"value": {"codec": "zstd"}}).build(files)
+    parts = [zarr3.read(spark, target.root, name) for name in ("time", "value", "user")]
+    return combine.merge(parts, ["time"]).withColumn("time", F.col("time").cast("long"))
+
+
+@query("SELECT 'user' AS name, ['time'] AS dims, (SELECT count(*) FROM events) AS n UNION ALL SELECT 'value', ['time'], (SELECT count(*) FROM events)")
+def schema_from_files(spark, sf_dir):
+    """The schema of files from their headers, one axis reduced after the other."""
+    files = _event_files(spark, sf_dir, f"{_store_root(spark)}/inputs")
+    rows = openers.scan_schemas(files, (TIME, VARIABLE))
+    whole = schema.reduce_axis(schema.reduce_axis(rows, VARIABLE), TIME)
+    return whole.vars.where("kind = 'data_var'").select("name", "dims", F.col("shape")[0].alias("n"))
+
+
+@query("""SELECT event_id AS time_pos, CASE WHEN user_id % 50 = 7 THEN NULL ELSE CAST(user_id % 50 AS DOUBLE) / 2 + 10 END AS packed,
+    strftime(TIMESTAMP '2001-03-04 06:00:00' + to_minutes(event_id), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def cf_decode(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("time_pos"), F.pmod("user_id", F.lit(50)).cast("short").alias("packed"), F.col("event_id").alias("at"))
+    packed = cells.decoded(events, "packed", {"scale_factor": 0.5, "add_offset": 10, "_FillValue": 7})
+    return cells.decoded(packed, "at", {"units": "minutes since 2001-03-04 06:00:00"}).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
 # References
 
 

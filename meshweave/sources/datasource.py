@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, prod
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.dtypes import spark_type
 from . import netcdf3, zarr3
-from .openers import read_url
+from .openers import opened_url
 from .storage import Target
 
 
@@ -45,7 +45,8 @@ class ArrayReader(DataSourceReader):
             document = zarr3.array_documents(Target(self.paths[0]))[self.variable]
             self.document, self.dims, self.shape, self.dtype = document, document["dimension_names"], document["shape"], document["data_type"]
         else:
-            v = netcdf3.read_header(read_url(self.paths[0])).variables[self.variable]
+            with opened_url(self.paths[0]) as f:
+                v = netcdf3.open_header(f).variables[self.variable]
             self.document, self.dims, self.dtype = None, list(v.dims), np.dtype(v.dtype).name
 
     def schema(self) -> str:
@@ -84,8 +85,7 @@ class ArrayReader(DataSourceReader):
             block = zarr3.read_chunk(Target(partition.source), self.variable, partition.index, self.document)
             start = [i * c for i, c in zip(partition.index, size)]
         else:
-            raw = read_url(partition.source)
-            block, start = netcdf3.read_variable(raw, netcdf3.read_header(raw), self.variable), [0] * len(self.dims)
+            block, start = self._rows(partition.source)
         places = [p + s for p, s in zip(np.indices(block.shape).reshape(len(self.dims), -1), start)]
         keep = np.ones(block.size, bool)
         for d, p in zip(self.dims, places):
@@ -95,6 +95,19 @@ class ArrayReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([*(pa.array(p[keep], pa.int64()) for p in places), pa.array(values[keep])], [*(f"{d}_pos" for d in self.dims), self.variable])
 
 
+    def _rows(self, url: str) -> tuple[np.ndarray, list[int]]:
+        """Of a NetCDF file, the wanted rows of the first dimension, by their byte ranges, and where they start."""
+        with opened_url(url) as f:
+            header = netcdf3.open_header(f)
+            shape = header.variables[self.variable].shape
+            if not shape:
+                return netcdf3.read_flat(f, header, self.variable, 0, 1).reshape(()), []
+            lo, hi = self.bounds.get(self.dims[0], (0, shape[0]))
+            lo = min(max(lo, 0), shape[0])
+            hi, row = min(max(hi, lo), shape[0]), prod(shape[1:])
+            return netcdf3.read_flat(f, header, self.variable, lo * row, hi * row).reshape(hi - lo, *shape[1:]), [lo] + [0] * (len(shape) - 1)
+
+
 class BlockWriter(DataSourceArrowWriter):
     """Writes blocks (<dim>_chunk ..., data) as chunk files; the array's document follows when all are there."""
 

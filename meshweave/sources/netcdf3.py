@@ -14,6 +14,11 @@ TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8:
 CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8, "u4": 9, "i8": 10, "u8": 11}
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 
+#: Bytes first read for a header, which is read again fourfold while it goes on.
+HEAD_BYTES = 1 << 16
+#: Records are read in one stretch if it is at most this many times what is wanted of it.
+STRETCH = 4
+
 
 @dataclass
 class Variable:
@@ -117,6 +122,36 @@ def read_header(data: bytes) -> Header:
     return Header(dims, attrs, variables, record_dim, max(records, 0), step, r.at)
 
 
+def open_header(file) -> Header:
+    """The header of an open file, by ranges from its start, whatever else the file holds."""
+    n, size = HEAD_BYTES, file.size()
+    while True:
+        try:
+            return read_header(file.read_at(min(n, size), 0))
+        except EOFError:
+            if n >= size:
+                raise
+            n *= 4
+
+
+def read_flat(file, header: Header, name: str, lo: int, hi: int) -> np.ndarray:
+    """Cells ``lo`` to ``hi`` of a variable in C order, from the byte ranges that hold them; a file that ends before is an error."""
+    v = header.variables[name]
+    kind = np.dtype(v.dtype)
+    if not v.record:
+        return np.frombuffer(file.read_at((hi - lo) * kind.itemsize, v.begin + lo * kind.itemsize), kind, hi - lo)
+    row = prod(v.shape[1:])
+    if hi <= lo or not row:
+        return np.zeros(0, kind)
+    first, last, step = lo // row, -(-hi // row), header.record_size
+    if step <= STRETCH * v.size:
+        raw = file.read_at((last - first - 1) * step + v.size, v.begin + first * step)
+        flat = np.ndarray((last - first, row), kind, raw, strides=(step, kind.itemsize)).ravel()
+    else:
+        flat = np.concatenate([np.frombuffer(file.read_at(v.size, v.begin + i * step), kind, row) for i in range(first, last)])
+    return flat[lo - first * row : hi - first * row]
+
+
 def read_variable(data: bytes, header: Header, name: str) -> np.ndarray:
     v = header.variables[name]
     kind = np.dtype(v.dtype)

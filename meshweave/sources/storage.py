@@ -1,17 +1,87 @@
-"""Places for stores and caches: any file system that Arrow or a plain path reaches."""
+"""Places for stores and caches: any file system that Arrow or a plain path reaches; inputs also over http(s)."""
 
 from __future__ import annotations
 
+import uuid
+from base64 import b64encode
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from urllib.error import HTTPError
 from urllib.parse import urlsplit
+from urllib.request import Request, urlopen
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 
 from ..functions.names import NAME_BYTES, cache_name, with_secrets
 
 #: Bytes copied at once.
 COPY_BYTES = 10_000_000
+#: Seconds until a silent http server is an error, which the task's repeat meets again.
+HTTP_TIMEOUT = 60
+
+
+class WebFile:
+    """An http(s) resource by byte ranges; one whose server ignores ranges is held whole.
+
+    ``auth`` is (user, password) of basic authentication. It isn't sent on to where a server
+    redirects, and it is in no error's text.
+    """
+
+    def __init__(self, url: str, auth: tuple[str, str] | None = None):
+        self.url, self.auth, self.at = url, auth, 0
+        self.whole: bytes | None = None
+        self.length = 0
+        self._get(0, 1)
+
+    def _get(self, offset: int, length: int) -> bytes:
+        request = Request(self.url, headers={"Range": f"bytes={offset}-{offset + length - 1}"})
+        if self.auth:
+            request.add_unredirected_header("Authorization", "Basic " + b64encode(":".join(self.auth).encode()).decode())
+        try:
+            with urlopen(request, timeout=HTTP_TIMEOUT) as answer:
+                told = answer.headers.get("Content-Range", "").rpartition("/")[2]
+                if answer.status == 206 and told.isdigit():
+                    self.length = int(told)
+                    return answer.read()
+                if answer.status == 206:
+                    raise ValueError("the server gives a range without the whole size")
+                self.whole = answer.read()
+        except HTTPError as error:
+            if error.code != 416 or offset:
+                raise
+            self.whole = b""  # an empty resource has no first byte
+        self.length = len(self.whole)
+        return self.whole[offset : offset + length]
+
+    def __enter__(self) -> WebFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.whole = None
+
+    def size(self) -> int:
+        return self.length
+
+    def read_at(self, length: int, offset: int) -> bytes:
+        length = min(length, self.length - offset)
+        if length <= 0:
+            return b""
+        return self.whole[offset : offset + length] if self.whole is not None else self._get(offset, length)
+
+    def read(self, length: int | None = None) -> bytes:
+        out = self.read_at(self.length if length is None else length, self.at)
+        self.at += len(out)
+        return out
+
+
+def opened(url: str, secrets: Mapping[str, str] | None = None, auth: tuple[str, str] | None = None):
+    """A file to read by ranges (``read_at``, ``read``, ``size``): http(s), any other scheme that Arrow knows, or a path."""
+    source = with_secrets(url, secrets)
+    if urlsplit(source).scheme in ("http", "https"):
+        return WebFile(source, auth)
+    fs, path = arrow_fs.FileSystem.from_uri(source) if "://" in source else (arrow_fs.LocalFileSystem(), source)
+    return fs.open_input_file(path)
 
 
 class RequiredAtRuntime:
@@ -74,16 +144,19 @@ class Target:
         fs, at = self._at(path)
         fs.create_dir(at, recursive=True)
 
-    def read(self, path: str, offset: int = 0, length: int | None = None) -> bytes:
+    def open(self, path: str) -> pa.NativeFile:
         fs, at = self._at(path)
-        with fs.open_input_file(at) as f:
+        return fs.open_input_file(at)
+
+    def read(self, path: str, offset: int = 0, length: int | None = None) -> bytes:
+        with self.open(path) as f:
             return f.read_at(f.size() - offset if length is None else length, offset)
 
     def write(self, path: str, data: bytes) -> None:
         fs, at = self._at(path)
         parent = at.rpartition("/")[0]
         fs.create_dir(parent, recursive=True)
-        draft = f"{at}.{id(data):x}.part"
+        draft = f"{at}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(draft) as f:
             f.write(data)
         fs.move(draft, at)
@@ -106,14 +179,12 @@ class FlatCache(Target):
     def name_of(self, path: str) -> str:
         return cache_name(path, self.name_bytes if self.protocol == "file" else None)
 
-    def fill(self, url: str, secrets: Mapping[str, str] | None = None) -> bool:
+    def fill(self, url: str, secrets: Mapping[str, str] | None = None, auth: tuple[str, str] | None = None) -> bool:
         """Copy ``url`` into the cache unless an entry of its size is there; whether it was copied.
 
         Only the size is compared, so a source that changes and keeps its size isn't seen.
         """
-        source = with_secrets(url, secrets)
-        fs, path = arrow_fs.FileSystem.from_uri(source) if "://" in source else (arrow_fs.LocalFileSystem(), source)
-        with fs.open_input_file(path) as f:
+        with opened(url, secrets, auth) as f:
             if self.exists(url) and self.size(url) == f.size():
                 return False
             own, at = self._at(url)
