@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,20 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
+def part_names(dims: Sequence[str]) -> list[str]:
+    """The columns of a part's place: its chunk, where it begins in it, how long it is, for each dimension."""
+    return [f"{d}_{c}" for d in dims for c in ("chunk", "lo", "len")]
+
+
+def cut(values: np.ndarray, at: Sequence[int], sizes: Sequence[int], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """An array that begins at ``at`` as the parts of chunks of ``sizes``, one at a time: ``names`` and data."""
+    for index in product(*(range(a // c, -(-(a + n) // c)) for a, n, c in zip(at, values.shape, sizes))):
+        span = [(max(a, k * c), min(a + n, (k + 1) * c)) for a, n, c, k in zip(at, values.shape, sizes, index)]
+        part = values[tuple(slice(lo - a, hi - a) for (lo, hi), a in zip(span, at))]
+        place = [x for k, c, (lo, hi) in zip(index, sizes, span) for x in (k, lo - k * c, hi - lo)]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in place), pa.array([part.tobytes()], pa.binary())], [*names, "data"])
+
+
 def paste(parts: DataFrame, dtype: str, chunks: Mapping[str, int], fill: float = 0) -> DataFrame:
     """(<dim>_chunk ..., n_cells, data): parts of chunks (<dim>_chunk, <dim>_lo, <dim>_len ..., data) as whole blocks.
 

@@ -28,18 +28,24 @@ def bucketed(references: DataFrame, position: str, per_bucket: int = 5) -> DataF
     return references.crossJoin(F.broadcast(span)).withColumn("bucket", bucket(F.col(position), F.col("lo"), F.col("hi"), F.col("n"), per_bucket)).drop("lo", "hi", "n")
 
 
-def combine(references: DataFrame, position: str, concat_dim: str, dims_of: dict[str, Sequence[str]], identical: Sequence[str] = ()) -> DataFrame:
-    """References of all files as those of one store.
-
-    ``references`` has the file's ``position`` along ``concat_dim``. Chunk indexes of
-    variables with that dimension move by the number of chunks that earlier files hold;
-    other variables, and those in ``identical``, are taken from the first file.
-    """
-    along = {v: list(d).index(concat_dim) for v, d in dims_of.items() if concat_dim in d and v not in identical}
+def _identical(references: DataFrame, positions: Sequence[str]) -> DataFrame:
+    """One row for each chunk of variables that are the same in every file: the first file's; held bytes or lengths that differ are an error."""
+    told = F.raise_error(F.format_string("files differ in %s", F.col("variable")))
+    held = F.struct(*(F.col(c) for c in ("url", "offset", "length", "inline")))
+    same = references.groupBy("variable", "chunk").agg(
+        *(F.min(c).alias(f"{c}_lo") for c in ("length", "inline")), *(F.max(c).alias(f"{c}_hi") for c in ("length", "inline")),
+        *(F.min(p).alias(p) for p in positions), F.min_by(held, F.struct(*(F.col(p) for p in positions))).alias("held"),
+    )
+    sound = F.col("length_lo").eqNullSafe(F.col("length_hi")) & F.col("inline_lo").eqNullSafe(F.col("inline_hi"))
+    return same.select("variable", "chunk", *positions, F.when(sound, F.col("held")).otherwise(told).alias("held")).select("variable", "chunk", *positions, "held.*")
+
+
+def _along(rows: DataFrame, position: str, dim: str, dims_of: dict[str, Sequence[str]]) -> DataFrame:
+    """Chunk indexes moved along one dimension by the chunks that earlier positions hold; variables without it from the first position."""
+    along = {v: list(d).index(dim) for v, d in dims_of.items() if dim in d}
     axis = F.create_map(*(F.lit(x) for v, i in along.items() for x in (v, i))) if along else F.create_map().cast("map<string,int>")
-    rows = references.withColumn("axis", axis[F.col("variable")])
-    own = F.expr("chunk[axis]")
-    held = rows.where("axis is not null").groupBy("variable", position).agg((F.max(own) + 1).alias("m"))
+    rows = rows.withColumn("axis", axis[F.col("variable")])
+    held = rows.where("axis is not null").groupBy("variable", position).agg((F.max(F.expr("chunk[axis]")) + 1).alias("m"))
     before = Window.partitionBy("variable").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("variable", position, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("moved"))
     moved = rows.where("axis is not null").join(held, ["variable", position])
@@ -48,6 +54,24 @@ def combine(references: DataFrame, position: str, concat_dim: str, dims_of: dict
     return moved.unionByName(rows.where("axis is null").join(first, ["variable", position])).drop("axis")
 
 
+def combine(references: DataFrame, position: str | Sequence[str], concat_dim: str | Sequence[str], dims_of: dict[str, Sequence[str]], identical: Sequence[str] = ()) -> DataFrame:
+    """References of all files as those of one store, along one dimension or several.
+
+    ``references`` has the file's ``position`` along each ``concat_dim``. Chunk indexes of
+    variables with that dimension move by the number of chunks that earlier files hold;
+    others are taken from the first file. Those in ``identical`` must have equal held bytes,
+    or equal lengths of their ranges, in every file.
+    """
+    positions, dims = ([x] if isinstance(x, str) else list(x) for x in (position, concat_dim))
+    whole = F.col("variable").isin(list(identical))
+    rows = references.where(~whole)
+    for p, d in zip(positions, dims, strict=True):
+        rows = _along(rows, p, d, dims_of)
+    if not identical:
+        return rows
+    return rows.unionByName(_identical(references.where(whole).select("variable", "chunk", "url", "offset", "length", "inline", *positions), positions), allowMissingColumns=True)
+
+
 def keys(references: DataFrame) -> DataFrame:
     """References with their store key, as ``variable/c/0/1``."""
     return references.withColumn("key", F.concat_ws("/", F.col("variable"), F.lit("c"), F.array_join(F.col("chunk").cast("array<string>"), "/")))
@@ -77,7 +101,7 @@ def write_json(references: DataFrame, path: str, metadata: dict[str, dict]) -> N
     Target(target).write(name, json.dumps({"version": 1, "refs": refs}).encode())
 
 
-def write_combined(references: DataFrame, position: str, concat_dim: str, dims_of: dict[str, Sequence[str]], path: str, metadata: dict[str, dict], identical: Sequence[str] = ()) -> DataFrame:
+def write_combined(references: DataFrame, position: str | Sequence[str], concat_dim: str | Sequence[str], dims_of: dict[str, Sequence[str]], path: str, metadata: dict[str, dict], identical: Sequence[str] = ()) -> DataFrame:
     """Combine the references of all files and write them to ``path``, as its ending says; what was written."""
     if references.isEmpty():
         raise ValueError("there are no references to combine")

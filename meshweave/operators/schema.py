@@ -35,6 +35,11 @@ class SchemaRows:
         """The same rows, kept: a step reads them several times, and they are metadata."""
         return SchemaRows(self.axes, *(getattr(self, f).cache() for f in ("fragments", "dims", "chunks", "attrs", "vars")))
 
+    def release(self) -> None:
+        """Forget what :meth:`cached` keeps."""
+        for f in ("fragments", "dims", "chunks", "attrs", "vars"):
+            getattr(self, f).unpersist()
+
 
 def _must(ok: Column, what: Column | str, value: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(what if isinstance(what, Column) else F.lit(what)))
@@ -119,11 +124,17 @@ def determine_schema(rows: SchemaRows, axes: Sequence[Dimension]) -> dict:
     """
     if rows.fragments.isEmpty():
         raise ValueError("there are no fragments to take a schema from")
-    for axis in reversed(axes):
-        rows = reduce_axis(rows, axis)
-    if rows.axes:
-        raise ValueError(f"axes {rows.axes} aren't reduced")
-    return collected(rows)
+    held: list[SchemaRows] = []
+    try:
+        for axis in reversed(axes):
+            held.append(rows.cached())
+            rows = reduce_axis(held[-1], axis)
+        if rows.axes:
+            raise ValueError(f"axes {rows.axes} aren't reduced")
+        return collected(rows)
+    finally:
+        for step in held:
+            step.release()
 
 
 def collected(rows: SchemaRows) -> dict:

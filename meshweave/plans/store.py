@@ -174,7 +174,7 @@ class StoreToZarr:
 
 
 def rechunk_store(spark, source: str, store: StoreToZarr, chunks: Mapping[str, int]) -> Target:
-    """Write an existing store anew with other chunks."""
+    """Write an existing store anew with other chunks: its chunks are cut into parts of the new ones, which move as bytes."""
     documents = zarr3.array_documents(Target(source))
     dims = {d: n for doc in documents.values() for d, n in zip(doc["dimension_names"], doc["shape"])}
     entry = lambda doc: {"dims": doc["dimension_names"], "shape": doc["shape"], "dtype": doc["data_type"], "attrs": {k: json.dumps(v) for k, v in doc["attributes"].items()}, "encoding": {}}
@@ -183,4 +183,6 @@ def rechunk_store(spark, source: str, store: StoreToZarr, chunks: Mapping[str, i
         "coords": {k: entry(v) for k, v in documents.items() if k in dims}, "data_vars": {k: entry(v) for k, v in documents.items() if k not in dims},
     }
     store.target_chunks = dict(chunks)
-    return store.write(schema, {name: zarr3.read(spark, source, name) for name in documents})
+    moved = {store.append_dim: store.append_offset()}
+    part_of = lambda name: lambda sizes: zarr3.read_parts(spark, source, name, sizes, moved)
+    return store.write(schema, {name: part_of(name) for name in documents})

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dtypes import spark_type
+from ..operators.rechunk import cut, part_names
 from ..operators.references import REFERENCE
 from ..operators.schema import VARS, SchemaRows
 from ..plans.patterns import Dimension, FileType
@@ -157,7 +158,7 @@ def open_parts(files: DataFrame, variable: str, dtype: str, chunks: Mapping[str,
     _readable(kind)
     dims, code, hidden = list(chunks), np.dtype(dtype), dict(secrets or {})
     sizes = [chunks[d] for d in dims]
-    names = [f"{d}_{c}" for d in dims for c in ("chunk", "lo", "len")]
+    names = part_names(dims)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +166,7 @@ def open_parts(files: DataFrame, variable: str, dtype: str, chunks: Mapping[str,
             for i, url in enumerate(batch.column("url").to_pylist()):
                 for start, values in _slabs(url, variable, kind, cache, hidden, auth):
                     at = [s + (begin[d][i] if d in begin else 0) for d, s in zip(dims, start)]
-                    met = [range(a // c, -(-(a + n) // c)) for a, n, c in zip(at, values.shape, sizes)]
-                    for index in product(*met):
-                        span = [(max(a, k * c), min(a + n, (k + 1) * c)) for a, n, c, k in zip(at, values.shape, sizes, index)]
-                        part = values[tuple(slice(lo - a, hi - a) for (lo, hi), a in zip(span, at))].astype(code)
-                        place = [x for k, c, (lo, hi) in zip(index, sizes, span) for x in (k, lo - k * c, hi - lo)]
-                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in place), pa.array([part.tobytes()], pa.binary())], [*names, "data"])
+                    yield from cut(values.astype(code), at, sizes, names)
 
     return files.mapInArrow(split, "".join(f"`{n}` long, " for n in names) + "data binary")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dtypes import spark_type
+from ..operators.rechunk import cut, part_names
 from .storage import Target
 
 
@@ -147,6 +148,20 @@ def read(spark: SparkSession, root: str, variable: str, parts: Mapping[str, slic
     return table.mapInArrow(cells, schema)
 
 
+def read_parts(spark: SparkSession, root: str, variable: str, chunks: Mapping[str, int], moved: Mapping[str, int] | None = None) -> DataFrame:
+    """The parts of other chunks that each chunk of an array holds (see ``paste``), ``moved`` by so much in a dimension; a chunk is read at a time."""
+    target, dims, sizes = Target(root), list(chunks), list(chunks.values())
+    document = array_documents(target)[variable]
+    own, names, by = document["chunk_grid"]["configuration"]["chunk_shape"], part_names(dims), [(moved or {}).get(d, 0) for d in dims]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for index in zip(*(c.to_pylist() for c in batch.columns)) if dims else [()]:
+                yield from cut(read_chunk(target, variable, index, document), [i * c + m for i, c, m in zip(index, own, by)], sizes, names)
+
+    return chunk_table(spark, document).mapInArrow(parts, "".join(f"`{n}` long, " for n in names) + "data binary")
+
+
 def write_blocks(blocks: DataFrame, target: Target, name: str, document: dict, dims: Sequence[str]) -> int:
     """Write ``blocks(<dim>_chunk ..., data)`` as chunk files; how many there were. One job, one file for each block."""
     size = document["chunk_grid"]["configuration"]["chunk_shape"]

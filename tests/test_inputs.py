@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshweave.operators import cells, combine, rechunk
+from meshweave.operators import cells, combine, rechunk, references
 from meshweave.plans.patterns import CombineOp, Dimension
 from meshweave.plans.store import StoreToZarr
 from meshweave.sources import netcdf3, openers, zarr3
@@ -187,3 +187,18 @@ def test_decoded(spark):
     assert cells.decoded(rows, "t", {"units": "m"}).collect() == rows.collect()
     with pytest.raises(ValueError, match="360_day"):
         cells.decoded(rows, "t", {"units": "days since 2000-01-01", "calendar": "360_day"})
+
+
+def test_references_along_two_dimensions(spark):
+    """Four files of a grid, each with 2 x 1 chunks of v: the chunk of the whole is that of all files before it in each dimension."""
+    grid = [(a, b, i) for a in range(2) for b in range(2) for i in range(2)]
+    rows = [(a, b, "v", [i, 0], f"f{a}{b}", i * 8, 8, None) for a, b, i in grid]
+    rows += [(a, b, "lat", [0], None, None, None, bytearray(b"x")) for a, b, i in grid if not i] + [(a, b, "x", [0], f"f{a}{b}", 16, 4, None) for a, b, i in grid if not i]
+    schema_ = "p long, q long, variable string, chunk array<long>, url string, offset long, length long, inline binary"
+    dims = {"v": ["day", "x"], "x": ["x"], "lat": ["lat"]}
+    found = references.keys(references.combine(spark.createDataFrame(rows, schema_), ["p", "q"], ["day", "x"], dims, ["lat"]))
+    got = {r.key: (r.url, r.offset) for r in found.collect()}
+    assert got == {f"v/c/{2 * a + i}/{b}": (f"f{a}{b}", i * 8) for a, b, i in grid} | {"lat/c/0": (None, None), "x/c/0": ("f00", 16), "x/c/1": ("f01", 16)}
+    rows[8] = (*rows[8][:-1], bytearray(b"y"))
+    with pytest.raises(Exception, match="files differ in lat"):
+        references.combine(spark.createDataFrame(rows, schema_), ["p", "q"], ["day", "x"], dims, ["lat"]).collect()
