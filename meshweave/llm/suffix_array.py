@@ -6,7 +6,7 @@ all strings that it stands for are its context. Grams that several documents hav
 their contexts, as bytes, to one place, where the different ones of each gram get a
 positional Burrows-Wheeler transform: at every column the contexts in the order of what
 follows, led to the next column on the left by their preceding bytes. Common prefixes are
-derived on it breadth first, the shortest first, up to ``min_len``; where the value is
+derived along with it, each column's from the one on its right, up to ``min_len``; where the value is
 reached, an interval of contexts has the string in common, and its smallest document tells
 which of the others lose it. Hashes only bring contexts together; bytes decide.
 
@@ -31,6 +31,8 @@ from .common import dropped, written
 GRAM = 16
 #: Bytes of text hashed at once, contexts compared at once, and the rows from which a group is split.
 TEXT_BLOCK, CONTEXT_BLOCK, HOT_ROWS = 1 << 18, 1 << 14, 1 << 18
+#: Anchors sorted at once before they are dealt by gram, to so many buckets for each partition.
+ANCHOR_BLOCK, BUCKETS = 1 << 18, 16
 #: Documents meet their rows, and grams their contexts, in so many parts one after the other, to halve what lies on disks.
 SLICES = 2
 #: Turns of a periodic run that one row stands for.
@@ -39,6 +41,8 @@ TURNS = 1 << 18
 _random = np.random.default_rng(16)
 _BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = [np.uint64(int(x) | 1) for x in _random.integers(0, 1 << 63, 6)]
+#: An anchor as it is dealt: of one whose gram is known to be in several documents, at is inverted.
+_PLACE = np.dtype([("gram", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("shape", "<i4")])
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -96,58 +100,58 @@ def common_minima(bytes_: np.ndarray, groups: np.ndarray, least: np.ndarray, min
     """For each context (a row, a byte + 1 in each column or 0 outside) and each column where a string
     may start: the smallest ``least`` of the contexts in the same group that have the same string there.
 
-    ``groups`` are ascending. Columns of the transform are positions; ``source[q]`` leads from
-    the order at column q to that at q + 1.
+    ``groups`` are ascending. Columns of the transform are positions; ``source`` leads from the
+    order at column q to that at q + 1, from which the prefixes at q follow.
     """
     n, columns = bytes_.shape
     width = columns - min_len + 1
     out = np.repeat(least[:, None], width, 1)
     if n < 2:
         return out
-    order = np.empty((columns, n), np.int32)
-    source = np.empty((columns, n), np.int32)
-    prefix = np.full((columns, n), min_len, np.int8)  # of each context and the one before it; min_len: not less as far as known
-    new_group = np.r_[True, groups[1:] != groups[:-1]]
-    block = (np.cumsum(new_group) - 1) << 9
-    now = np.arange(n, dtype=np.int32)
+    # Sorted as one number: group, byte (9 bits), place in the order so far (32 bits).
+    block = np.cumsum(np.r_[False, groups[1:] != groups[:-1]]) << 41 | np.arange(n)
+    now = np.arange(n)
+    prefix = np.zeros(n + 1, np.int8)  # of each context and the one before it, min_len: not less; the last is never read
+    columnwise = np.ascontiguousarray(bytes_.T)
     for q in range(columns - 1, -1, -1):
-        key = block + bytes_[now, q]
-        source[q] = np.argsort(key, kind="stable")
-        key, now = key[source[q]], now[source[q]]
-        order[q] = now
-        prefix[q, np.r_[True, key[1:] != key[:-1]] | (bytes_[now, q] == 0)] = 0
-    prefix[:, new_group] = 0
-    # A boundary of value v at column q + 1 splits what a byte at q leads to: those get v + 1.
-    # In the last column all contexts with the same byte have that in common and nothing more.
-    prefix[columns - 1][prefix[columns - 1] != 0] = 1
-    open_q, open_t = np.nonzero(prefix[:-1] == min_len)
-    for v in range(min_len - 1):
-        if not len(open_q):
-            break
-        reach = min(columns, width + min_len - v)  # further right nothing bears on a string's start
-        seen = np.cumsum(prefix[:reach] <= v, 1, dtype=np.int32)
-        keep = open_q + 1 < reach
-        open_q, open_t = open_q[keep], open_t[keep]
-        split = seen[open_q + 1, source[open_q, open_t]] > seen[open_q + 1, source[open_q, open_t - 1]]
-        prefix[open_q[split], open_t[split]] = v + 1
-        open_q, open_t = open_q[~split], open_t[~split]
-    for p in range(width):
-        heads = np.flatnonzero(prefix[p] < min_len)
-        low = np.minimum.reduceat(least[order[p]], heads)
-        out[order[p], p] = np.repeat(low, np.diff(np.r_[heads, n]))
+        key = np.sort(block | columnwise[q][now].astype(np.int64) << 32)
+        source = key & 0xFFFFFFFF
+        key >>= 32
+        now = now[source]
+        same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 511 != 0)) + 1
+        # What the two have in common from here on is this byte and the least that lies between them in the order behind it.
+        low = prefix[source[same]]
+        apart = np.flatnonzero(source[same] - source[same - 1] > 1)
+        if len(apart):
+            between = np.stack([source[same[apart] - 1], source[same[apart]]], 1).ravel() + 1
+            low[apart] = np.minimum.reduceat(prefix, between)[::2]
+        prefix = np.zeros(n + 1, np.int8)
+        prefix[same] = np.minimum(low + 1, min_len)
+        if q < width:
+            heads = np.flatnonzero(prefix[:n] < min_len)
+            out[now, q] = np.repeat(np.minimum.reduceat(least[now], heads), np.diff(np.r_[heads, n]))
     return out
 
 
-def _places(texts: DataFrame, min_len: int) -> DataFrame:
-    """(gram, doc, row, at, shape, flag) for every anchor of ``texts(doc_id, row, text)``.
+def _heads(ascending: np.ndarray) -> np.ndarray:
+    """Where each value begins."""
+    return np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
 
-    shape: of :func:`anchors`, plus 4096 times the turns of a run. flag: 0 where the block of
-    texts at hand tells nothing about the gram; of a gram that several documents in the block
-    have, 1 for its first row, the witness that tells the other blocks, and 2 for the others.
+
+def _of_several(places: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Whether the anchors from each of ``heads`` on, up to the next, are of several documents."""
+    return np.minimum.reduceat(places["doc"], heads) < np.maximum.reduceat(places["doc"], heads)
+
+
+def _places(texts: DataFrame, min_len: int, buckets: int) -> DataFrame:
+    """(bucket, places) for every anchor of ``texts(doc_id, row, text)``; places: _PLACE records of the bucket's grams, as bytes.
+
+    shape: of :func:`anchors`, plus 4096 times the turns of a run. Of a gram that several
+    documents in the block at hand have, the first row is a witness that tells the other
+    blocks; the others are settled and go to any bucket. ``buckets`` is a power of two.
     """
-    names = ["gram", "doc", "row", "at", "shape", "flag"]
 
-    def emit(raws: list[bytes], ids: list[int], rows: list[int]) -> pa.RecordBatch:
+    def found_in(raws: list[bytes], ids: list[int], rows: list[int]) -> np.ndarray:
         found = anchors(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws]), min_len)
         gram, at, runs, shape, which = found["gram"], found["at"], found["runs"], found["shape"], found["text"]
         if (runs > TURNS).any():  # the next part of a long run begins where this one ends
@@ -157,21 +161,39 @@ def _places(texts: DataFrame, min_len: int) -> DataFrame:
             gram, shape, which = gram[part], shape[part], which[part]
             at = at[part] + nth * TURNS * ((shape >> 6) - (shape & 63) + 1)
             runs = np.minimum(runs[part] - nth * TURNS, TURNS)
-        doc = np.array(ids, np.int64)[which]
-        order = np.lexsort((doc, gram))
-        gram, doc, which, at, shape = gram[order], doc[order], which[order], at[order], (runs << 12 | shape)[order]
-        flag = np.zeros(len(gram), np.int8)
-        if len(gram):
-            heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-            tails = np.r_[heads[1:], len(gram)] - 1
-            flag = np.repeat(np.where(doc[heads] != doc[tails], 2, 0), tails - heads + 1).astype(np.int8)
-            flag[heads] //= 2
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((gram, doc, np.array(rows, np.int64)[which], at, shape, flag), types)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8()]
+        out = np.empty(len(gram), _PLACE)
+        out["gram"], out["doc"], out["row"], out["at"], out["shape"] = gram, np.array(ids, np.int64)[which], np.array(rows, np.int64)[which], at, runs << 12 | shape
+        return out
+
+    def cut(places: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        bounds = np.r_[starts, len(places)].astype(np.int32) * _PLACE.itemsize
+        blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(places.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), blobs], ["bucket", "places"])
+
+    def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        whole = np.concatenate(found)
+        for at in range(0, len(whole), 4 * ANCHOR_BLOCK):  # a long text has more
+            yield from sorted_(whole[at : at + 4 * ANCHOR_BLOCK])
+
+    def sorted_(places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mixed = _mixed(places["gram"].astype(np.uint64))  # one to one; grams themselves are the least of their neighbours
+        order = np.argsort(mixed)
+        places, mixed = places[order], mixed[order]
+        heads = _heads(mixed)
+        several = _of_several(places, heads)
+        settled = np.repeat(several, np.diff(np.r_[heads, len(places)]))
+        places["at"][settled] = ~places["at"][settled]
+        settled[heads] = False
+        open_, settled = np.flatnonzero(~settled), np.flatnonzero(settled)
+        bucket = mixed[open_] >> np.uint64(65 - buckets.bit_length())
+        starts = _heads(bucket)
+        yield cut(places[open_], starts, bucket[starts])
+        if len(settled):
+            starts = np.arange(0, len(settled), 256)
+            yield cut(places[settled], starts, mixed[settled[starts]] & np.uint64(buckets - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raws, ids, rows, size = [], [], [], 0
+        raws, ids, rows, size, found = [], [], [], 0, []
         for batch in batches:
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer()
@@ -180,48 +202,37 @@ def _places(texts: DataFrame, min_len: int) -> DataFrame:
                 rows.append(row)
                 size += raw.size
                 if size >= TEXT_BLOCK:
-                    yield emit(raws, ids, rows)
+                    found.append(found_in(raws, ids, rows))
                     raws, ids, rows, size = [], [], [], 0
-        if raws:
-            yield emit(raws, ids, rows)
+                    if sum(map(len, found)) >= ANCHOR_BLOCK:
+                        yield from dealt(found)
+                        found = []
+        yield from dealt([*found, found_in(raws, ids, rows)])
 
-    long_enough = texts.where(f"doc_id is not null and octet_length(text) >= {min_len}")
-    return long_enough.select("doc_id", "row", "text").mapInArrow(run, "gram long, doc long, row long, at int, shape int, flag byte")
+    return texts.select("doc_id", "row", "text").mapInArrow(run, "bucket long, places binary")
 
 
 def _shared(places: DataFrame) -> DataFrame:
-    """The anchors whose gram is in several documents.
+    """The anchors whose gram is in several documents, told from whole buckets of grams.
 
-    What its block already knows to be shared is dealt by itself; witnesses and the rest meet
-    by gram, so a gram brings a row or so for each block that has it often. Of sorted rows
-    only those of a gram that has shown one document so far are held.
+    Settled anchors are dealt without regard to their gram, so a gram brings a row or so for
+    each block that has it often.
     """
     names = ["gram", "doc", "row", "at", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        shared_gram = None
-        for batch in batches:
-            known = batch.column(5).to_numpy() == 2
-            if known.any():
-                yield batch.filter(pa.array(known)).select(names)
-                batch = batch.filter(pa.array(~known))
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            gram, doc, flag = (table.column(i).to_numpy() for i in (0, 1, 5))
-            heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-            tails = np.r_[heads[1:], len(gram)]
-            several = (doc[heads] != doc[tails - 1]) | (np.maximum.reduceat(flag, heads) > 0) | ((gram[heads] == shared_gram) if shared_gram is not None else False)
-            keep = np.repeat(several, tails - heads)
-            if keep.any():
-                yield from table.filter(pa.array(keep)).select(names).combine_chunks().to_batches()
-            shared_gram = gram[-1] if several[-1] else None
-            held = None if several[-1] else table.slice(int(heads[-1]))
-
-    apart = F.when(F.col("flag") == 2, F.xxhash64("gram", "doc", "row", "at")).otherwise(F.col("gram"))
-    return places.repartition(apart).sortWithinPartitions("gram", "doc").mapInArrow(run, "gram long, doc long, row long, at int, shape int")
+        for batch in _whole_groups((b for b in batches if b.num_rows), 1):
+            blobs = batch.column(1)
+            bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            found = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(_PLACE)
+            found = found[np.argsort(found["gram"], kind="stable")]
+            heads = _heads(found["gram"])
+            several = _of_several(found, heads) | np.logical_or.reduceat(found["at"] < 0, heads)
+            kept = found[np.repeat(several, np.diff(np.r_[heads, len(found)]))]
+            at = np.where(kept["at"] < 0, ~kept["at"], kept["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (kept["gram"], kept["doc"], kept["row"], at, kept["shape"])], names)
+
+    return places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, doc long, row long, at int, shape int")
 
 
 def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
@@ -253,7 +264,7 @@ def _contexts(texts: DataFrame, shared: DataFrame, min_len: int) -> DataFrame:
                 carried = raw[ends[last] - ends[0] : ends[last + 1] - ends[0]].copy()
 
     null = F.lit(None)
-    wanted = texts.where(f"doc_id is not null and octet_length(text) >= {min_len}").select(null.cast("long").alias("gram"), F.col("doc_id").alias("doc"), "row", null.cast("int").alias("at"), null.cast("int").alias("shape"), "text", null.cast("int").alias("slice"))
+    wanted = texts.select(null.cast("long").alias("gram"), F.col("doc_id").alias("doc"), "row", null.cast("int").alias("at"), null.cast("int").alias("shape"), "text", null.cast("int").alias("slice"))
     both = wanted.union(shared.select("gram", "doc", "row", "at", "shape", null.cast("string"), "slice"))
     met = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("at").asc_nulls_first())
     return met.mapInArrow(run, "gram long, doc long, row long, at int, shape int, context binary, slice int")
@@ -308,7 +319,16 @@ def _lost(contexts: DataFrame, min_len: int) -> DataFrame:
         order = np.lexsort((doc, key))
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         one = order[new]  # of each different context the row of its smallest document
-        which, first, last, low = _common(batch.column(5).take(pa.array(one)), group[one], before[one], after[one], doc[one], 0, min_len - GRAM, min_len)
+        # A context alone in its group has all its strings in common with its equals only; the others meet in the transform.
+        size = np.bincount(group[one])[group[one]]
+        single, several = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+        which, first, last, low = single, before[one[single]], after[one[single]], doc[one[single]]
+        if len(several):
+            met = one[several]
+            more = _common(batch.column(5).take(pa.array(met)), group[met], before[met], after[met], doc[met], 0, min_len - GRAM, min_len)
+            which, first, last, low = (np.r_[x, y] for x, y in zip((which, first, last, low), (several[more[0]], *more[1:])))
+            order_of = np.argsort(which, kind="stable")
+            which, first, last, low = which[order_of], first[order_of], last[order_of], low[order_of]
         # All rows of a context meet its runs.
         many, place = np.bincount(which, minlength=len(one)), np.empty(len(key), np.int64)
         place[order] = np.cumsum(new) - 1
@@ -396,6 +416,17 @@ def _hot_lost(contexts: DataFrame, min_len: int) -> DataFrame:
     return met.select("doc", "row", (F.col("at") - F.col("first") + F.col("turn") * step).alias("start"), (F.col("at") - F.col("last") + min_len + (F.col("turn") + more) * step).alias("end"))
 
 
+def _copies(whole: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, row, start, end) of lost bytes for the rows of ``whole`` whose text a smaller document has too: all of them.
+
+    ``texts`` has each different text once, with its smallest and largest document.
+    """
+    digest = F.sha2("text", 256).alias("digest")
+    several = texts.where("doc_id < most").select("row", digest, F.col("doc_id").alias("least"))
+    rows = whole.select(F.col("doc_id").alias("doc"), "row", digest, F.octet_length("text").alias("end"))
+    return rows.join(several, ["row", "digest"]).where("doc > least").select("doc", "row", F.lit(0).alias("start"), "end")
+
+
 def repeats(texts: DataFrame, min_len: int = 50) -> DataFrame:
     """(doc_id, row, lost) for the texts that lose bytes; lost: array of (start, end), which may overlap.
 
@@ -403,15 +434,20 @@ def repeats(texts: DataFrame, min_len: int = 50) -> DataFrame:
     that share an id are told apart. Null ids and null texts have no part in it; equal rows
     count once; an empty table gives none.
     """
-    shared = written(_shared(_places(texts, min_len)), "shared")
+    whole = texts.where(f"doc_id is not null and octet_length(text) >= {min_len}")
+    texts = written(whole.groupBy("row", "text").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")), "texts", "zstd")
+    copies = written(_copies(whole, texts), "lost")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = written(_shared(_places(texts, min_len, 1 << (BUCKETS * partitions - 1).bit_length())), "shared")
     hot = written(shared.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).withColumn("slice", F.lit(-1)).drop("n"), "hot")
     any_hot = not hot.isEmpty()
     sliced = shared.join(hot, "gram", "left").withColumn("slice", F.coalesce("slice", F.pmod(F.xxhash64("gram"), F.lit(SLICES)).cast("int")))
     half = lambda df, doc, k: df.where(F.pmod(F.xxhash64(doc), F.lit(SLICES)) == k)
     halves = [written(_contexts(half(texts, "doc_id", k), half(sliced, "doc", k), min_len), "contexts", "zstd") for k in range(SLICES)]
     contexts = functools.reduce(DataFrame.union, halves)
-    dropped(shared, hot)
-    parts = [written(_hot_lost(contexts.where("slice = -1"), min_len), "lost")] if any_hot else []
+    dropped(shared, hot, texts)
+    parts = [copies]
+    parts += [written(_hot_lost(contexts.where("slice = -1"), min_len), "lost")] if any_hot else []
     parts += [written(_lost(contexts.where(f"slice = {k}"), min_len), "lost") for k in range(SLICES)]
     dropped(*halves)
     lost = functools.reduce(DataFrame.union, parts)

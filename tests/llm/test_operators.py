@@ -312,6 +312,47 @@ def test_repeats(spark, monkeypatch, hot, block):
     assert sorted(map(key, found)) == sorted(map(key, plain_dedup(rows)))
 
 
+def test_copies_bring_no_anchors(spark, monkeypatch):
+    """Equal texts collapse before anchors are taken; what a copy loses doesn't depend on a hash of 64 bits."""
+    rows, made = [], {}
+    write = suffix_array.written
+
+    def written(df, name, *args):
+        out = write(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffix_array, "written", written)
+    for k in range(3):  # three different texts of 40 copies each
+        text = "".join(chr(97 + (7 * i * i + k * i) % 26) + str(i * (k + 3)) for i in range(100))
+        rows += [(100 * i + k, text) for i in range(40)]
+    found = suffix_array.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == sorted(plain_dedup(rows))
+    assert made["texts"] == 3 and made["shared"] == 0
+    same_hash = [(1, 7, "a" * 30 + "b" * 30), (2, 7, "c" * 30 + "d" * 30), (3, 7, "a" * 30 + "b" * 30)]
+    lost = suffix_array.repeats(spark.createDataFrame(same_hash, "doc_id long, row long, text string")).collect()
+    assert [(r.doc_id, r.row, [tuple(x) for x in r.lost]) for r in lost] == [(3, 7, [(0, 60)])]
+
+
+def test_places_move_as_blocks(spark, monkeypatch):
+    """Anchors are dealt as bytes, a row for each bucket of grams, and the shared ones are those of several documents."""
+    monkeypatch.setattr(suffix_array, "TEXT_BLOCK", 1 << 12)
+    monkeypatch.setattr(suffix_array, "ANCHOR_BLOCK", 1 << 10)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = docs.where("octet_length(text) >= 50").groupBy(F.xxhash64("text").alias("row"), "text").agg(F.min("doc_id").alias("doc_id"))
+    places = suffix_array._places(texts, 50, 16).coalesce(2).cache()
+    found = np.concatenate([np.frombuffer(r.places, suffix_array._PLACE) for r in places.collect()])
+    assert places.count() < len(found) / 5
+    sizes = [r.n for r in places.groupBy("bucket").agg(F.sum(F.octet_length("places")).alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * np.mean(sizes)
+    several = {}
+    for p in found:
+        several.setdefault(int(p["gram"]), set()).add(int(p["doc"]))
+    expected = sorted((int(p["gram"]), int(p["doc"]), max(int(p["at"]), ~int(p["at"]))) for p in found if len(several[int(p["gram"])]) > 1)
+    assert expected and sorted(map(tuple, suffix_array._shared(places).select("gram", "doc", "at").collect())) == expected
+    places.unpersist()
+
+
 def test_texts_without_repeats(spark, docs, empty):
     assert suffix_array.deduplicate(empty).count() == 0 and suffix_array.without_repeats(empty).count() == 0
     rows = odd_repeats() + [(1000, "ü" * 30 + "tail"), (1001, "xü" * 20 + "ü" * 30 + "x")]

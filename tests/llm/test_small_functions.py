@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -311,6 +312,17 @@ def test_common_minima():
             assert np.array_equal(got[whole, p], expected[whole, p])
 
 
+def test_common_minima_hold_one_column():
+    """The transform keeps one column's order, not those of all columns."""
+    rng = np.random.default_rng(5)
+    rows, groups, least = rng.integers(1, 5, (20_000, 84)).astype(np.uint16), np.sort(rng.integers(0, 5000, 20_000)), np.arange(20_000)
+    tracemalloc.start()
+    suffix_array.common_minima(rows, groups, least, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * rows.nbytes
+
+
 def test_kept_bytes():
     assert suffix_array.kept_bytes(b"abcdefgh", np.array([5, 1, 2]), np.array([6, 3, 5])) == (b"agh", 1)
     assert suffix_array.kept_bytes(b"abcdefgh", np.array([6, 1]), np.array([7, 3])) == (b"adefh", 2)
