@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
@@ -90,20 +90,35 @@ def cut(values: np.ndarray, at: Sequence[int], sizes: Sequence[int], names: Sequ
         yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in place), pa.array([part.tobytes()], pa.binary())], [*names, "data"])
 
 
-def paste(parts: DataFrame, dtype: str, chunks: Mapping[str, int], fill: float = 0) -> DataFrame:
+def _made(rows: DataFrame, keys: Sequence[str], block: Callable[[pa.Table], tuple[int, np.ndarray]], keep: Callable[[Sequence[int], np.ndarray], None] | None) -> DataFrame:
+    """(*keys, n_cells, data): ``block(rows)`` of each group. ``keep`` takes its keys and cells where it is made; then there is no data."""
+    types = dict(rows.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "n_cells long" + ("" if keep else ", data binary")
+    out_schema = _arrow_schema(schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        at = [table.column(k)[0].as_py() for k in keys]
+        n, data = block(table)
+        if keep:
+            keep(at, data)
+        return pa.table([*([x] for x in at), [n], *([] if keep else [[data.tobytes()]])], names=out_schema.names).cast(out_schema)
+
+    return rows.groupBy(*keys).applyInArrow(one, schema)
+
+
+def paste(parts: DataFrame, dtype: str, chunks: Mapping[str, int], fill: float = 0, keep: Callable[[Sequence[int], np.ndarray], None] | None = None) -> DataFrame:
     """(<dim>_chunk ..., n_cells, data): parts of chunks (<dim>_chunk, <dim>_lo, <dim>_len ..., data) as whole blocks.
 
     What no part holds is ``fill``. A chunk over BLOCK_BYTES is refused, and parts that
-    overlap are an error, so a chunk's parts are never more than one block's bytes.
+    overlap are an error, so a chunk's parts are never more than one block's bytes. With
+    ``keep(index, block)`` each block is handed over where it is made, and no data come back:
+    a task then holds one block, however many it makes.
     """
     dims, code = list(chunks), np.dtype(dtype)
     sizes = [chunks[d] for d in dims]
     _refuse_large(sizes, code)
-    keys = [f"{d}_chunk" for d in dims]
-    schema = "".join(f"`{k}` long, " for k in keys) + "n_cells long, data binary"
-    out_schema = _arrow_schema(schema)
 
-    def block(table: pa.Table) -> pa.Table:
+    def block(table: pa.Table) -> tuple[int, np.ndarray]:
         data, known = np.full(sizes, fill, code), np.zeros(sizes, bool)
         for batch in table.to_batches():
             places = [batch.column(f"{d}_{c}").to_pylist() for d in dims for c in ("lo", "len")]
@@ -114,24 +129,25 @@ def paste(parts: DataFrame, dtype: str, chunks: Mapping[str, int], fill: float =
                     raise ValueError("a cell comes more than once")
                 data[box] = np.frombuffer(raw.as_buffer(), code).reshape(n)
                 known[box] = True
-        return pa.table([*([table.column(k)[0].as_py()] for k in keys), [int(known.sum())], [data.tobytes()]], names=[*keys, "n_cells", "data"]).cast(out_schema)
+        return int(known.sum()), data
 
-    return parts.groupBy(*keys).applyInArrow(block, schema)
+    return _made(parts, [f"{d}_chunk" for d in dims], block, keep)
 
 
-def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, int], chunks: Mapping[str, int], fill: float = 0, by: Sequence[str] = ()) -> DataFrame:
+def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, int], chunks: Mapping[str, int], fill: float = 0, by: Sequence[str] = (), keep: Callable[[Sequence[int], np.ndarray], None] | None = None) -> DataFrame:
     """(*by, <dim>_chunk ..., n_cells, data): the cells of each target chunk as one block of whole chunk size in C order.
 
     Cells that aren't there hold ``fill``; what a chunk reaches past the array does too. A
     chunk over BLOCK_BYTES is refused before anything moves, as it wouldn't fit a task. A
     cell that comes twice, or null in a position, is an error; a null value is ``fill``.
+    ``keep`` is as in :func:`paste`.
     """
     dims, code = list(chunks), np.dtype(dtype)
     sizes = [chunks[d] for d in dims]
     _refuse_large(sizes, code)
     keys = [*by, *(f"{d}_chunk" for d in dims)]
 
-    def block(table: pa.Table) -> pa.Table:
+    def block(table: pa.Table) -> tuple[int, np.ndarray]:
         at = [table.column(f"{d}_pos").to_numpy() - table.column(f"{d}_chunk")[0].as_py() * n for d, n in zip(dims, sizes)]
         flat = np.ravel_multi_index(at, sizes) if dims else np.zeros(table.num_rows, np.int64)
         if len(np.unique(flat)) != len(flat):
@@ -140,13 +156,9 @@ def assemble(cells: DataFrame, variable: str, dtype: str, shape: Mapping[str, in
         values = table.column(variable).combine_chunks()
         known = values.is_valid().to_numpy(zero_copy_only=False)
         data[flat[known]] = values.drop_null().to_numpy(zero_copy_only=False).astype(code)
-        return pa.table([*([table.column(k)[0].as_py()] for k in keys), [table.num_rows], [data.tobytes()]], names=[*keys, "n_cells", "data"]).cast(out_schema)
+        return table.num_rows, data.reshape(sizes)
 
-    cells = with_chunks(cells.select(*by, *(f"{d}_pos" for d in dims), variable), chunks)
-    types = dict(cells.dtypes)
-    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "n_cells long, data binary"
-    out_schema = _arrow_schema(schema)
-    return cells.groupBy(*keys).applyInArrow(block, schema)
+    return _made(with_chunks(cells.select(*by, *(f"{d}_pos" for d in dims), variable), chunks), keys, block, keep)
 
 
 def blocks_to_cells(blocks: DataFrame, variable: str, dtype: str, shape: Mapping[str, int], chunks: Mapping[str, int]) -> DataFrame:

@@ -160,13 +160,14 @@ class StoreToZarr:
         for name, document in documents.items():
             dims, cells = list(every[name]["dims"]), variables[name]
             sizes = dict(zip(dims, document["chunk_grid"]["configuration"]["chunk_shape"]))
+            written = {"fill": document["fill_value"], "keep": zarr3.chunk_writer(target, name, document)}
             if callable(cells):
-                zarr3.write_blocks(paste(cells(sizes), document["data_type"], sizes, document["fill_value"]), target, name, document, dims)
-                continue
-            if moved:
-                cells = cells.withColumn(f"{self.append_dim}_pos", F.col(f"{self.append_dim}_pos") + moved)
-            blocks = assemble(cells, name, document["data_type"], dict(zip(dims, document["shape"])), sizes, document["fill_value"])
-            zarr3.write_blocks(blocks, target, name, document, dims)
+                blocks = paste(cells(sizes), document["data_type"], sizes, **written)
+            else:
+                if moved:
+                    cells = cells.withColumn(f"{self.append_dim}_pos", F.col(f"{self.append_dim}_pos") + moved)
+                blocks = assemble(cells, name, document["data_type"], dict(zip(dims, document["shape"])), sizes, **written)
+            blocks.agg(F.count("*")).collect()
         if moved:
             for name, document in documents.items():
                 zarr3.write_document(target, name, document)

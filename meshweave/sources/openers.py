@@ -24,6 +24,8 @@ from .storage import FlatCache, Target, opened
 
 #: Bytes of an input's array read at once, but a row of its first dimension at least; cells made of them at once.
 SLAB_BYTES, BATCH_CELLS = 1 << 26, 1 << 20
+#: Headers held at once.
+HEADERS = 256
 
 # The engine that reads each type, and the first bytes that tell a type.
 ENGINES = {"grib": "grib", "kerchunk": "references", "netcdf3": "netcdf3", "netcdf4": "hdf5", "opendap": "opendap", "zarr": "zarr"}
@@ -180,7 +182,7 @@ def scan_schemas(files: DataFrame, axes: tuple[Dimension, ...], file_type: FileT
     keys = [f"{a.name}_pos" for a in axes]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, HEADERS) for b in batches for lo in range(0, b.num_rows, HEADERS)):
             rows = []
             for url in batch.column("url").to_pylist():
                 if kind is FileType.zarr:
@@ -204,7 +206,8 @@ def scan_schemas(files: DataFrame, axes: tuple[Dimension, ...], file_type: FileT
     var_type = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("dims", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("dtype", pa.string()), ("attrs", text_map), ("encoding", text_map)]))
     schema = "".join(f"`{k}` long, " for k in keys) + f"sizes array<struct<dim:string,len:long>>, attrs array<struct<key:string,value:string>>, vars array<struct<{', '.join(x.replace(' ', ':', 1) for x in VARS.split(', '))}>>"
     found = files.select(*keys, "url").mapInArrow(scan, schema).persist()
-    chunks = found.sparkSession.createDataFrame([], "".join(f"`{k}` long, " for k in keys) + "dim string, at long, len long")
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    chunks = found.sparkSession.range(0).select(*(none(k, "long") for k in keys), none("dim", "string"), none("at", "long"), none("len", "long"))
     return SchemaRows(axes, found.select(*keys), found.select(*keys, F.inline("sizes")), chunks, found.select(*keys, F.inline("attrs")), found.select(*keys, F.inline("vars")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import ceil
 from typing import Any
 
@@ -66,7 +66,7 @@ def chunk_key(name: str, index: Sequence[int]) -> str:
 
 
 def encode(block: np.ndarray, document: dict) -> bytes:
-    raw = np.ascontiguousarray(block).astype(np.dtype(document["data_type"]).newbyteorder("<")).tobytes()
+    raw = block.astype(np.dtype(document["data_type"]).newbyteorder("<"), copy=False).tobytes()
     for codec in document["codecs"][1:]:
         raw = gzip.compress(raw, codec["configuration"]["level"], mtime=0) if codec["name"] == "gzip" else bytes(pa.Codec("zstd", codec["configuration"]["level"]).compress(raw))
     return raw
@@ -162,19 +162,13 @@ def read_parts(spark: SparkSession, root: str, variable: str, chunks: Mapping[st
     return chunk_table(spark, document).mapInArrow(parts, "".join(f"`{n}` long, " for n in names) + "data binary")
 
 
-def write_blocks(blocks: DataFrame, target: Target, name: str, document: dict, dims: Sequence[str]) -> int:
-    """Write ``blocks(<dim>_chunk ..., data)`` as chunk files; how many there were. One job, one file for each block."""
-    size = document["chunk_grid"]["configuration"]["chunk_shape"]
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("data")
-            for i in range(batch.num_rows):
-                block = np.frombuffer(data[i].as_py(), np.dtype(document["data_type"])).reshape(size)
-                target.write(chunk_key(name, [batch.column(f"{d}_chunk")[i].as_py() for d in dims]), encode(block, document))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+def chunk_writer(target: Target, name: str, document: dict) -> Callable[[Sequence[int], np.ndarray], None]:
+    """Writes a block as its chunk's file: what ``paste`` and ``assemble`` do with a block where it is made.
 
-    return blocks.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    Blocks that come back from one Python worker to be written by another would come in batches
+    of as many as a partition holds, and a task would need both workers.
+    """
+    return lambda index, block: target.write(chunk_key(name, index), encode(block, document))
 
 
 def consolidate_metadata(target: Target) -> dict:

@@ -5,14 +5,16 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meshweave.operators import cells, combine, rechunk, references
+from meshweave.plans import store
 from meshweave.plans.patterns import CombineOp, Dimension
 from meshweave.plans.store import StoreToZarr
 from meshweave.sources import netcdf3, openers, zarr3
-from meshweave.sources.storage import FlatCache, opened
+from meshweave.sources.storage import FlatCache, Target, opened
 
 DAY, KIND = Dimension("day", CombineOp.CONCAT), Dimension("kind", CombineOp.MERGE)
 
@@ -62,6 +64,45 @@ def test_build_appends(spark, tmp_path):
     assert np.array_equal(zarr3.read_array(target, "v"), new) and np.array_equal(zarr3.read_array(target, "day"), np.arange(5))
 
 
+def test_blocks_are_written_where_they_are_made(spark, tmp_path, matrix, monkeypatch):
+    """No block of labels or data goes on to a second Python worker, which would take as many at once as a partition holds."""
+    files, rain, _ = matrix
+    made = []
+    for name in ("paste", "assemble"):
+        real = getattr(rechunk, name)
+        monkeypatch.setattr(store, name, lambda *a, real=real, **k: made.append(real(*a, **k)) or made[-1])
+    target = StoreToZarr("out.zarr", [DAY, KIND], str(tmp_path), {"day": 2, "station": 2}, encoding={"rain": {"codec": "zstd"}}).build(files)
+    assert len(made) == 5 and not any("data" in f.columns for f in made)
+    assert np.array_equal(zarr3.read_array(target, "rain"), rain)
+
+
+def test_kept_blocks(spark, tmp_path):
+    """Blocks that are kept are the ones that come back else, in order and bytes."""
+    document = zarr3.array_document([5, 3], [2, 2], "int32", ["x", "y"], fill=-1)
+    cells_ = spark.createDataFrame([(i, j, 3 * i + j) for i in range(5) for j in range(3) if (i, j) != (4, 2)], "x_pos long, y_pos long, v int")
+    how = ("v", "int32", {"x": 5, "y": 3}, {"x": 2, "y": 2}, -1)
+    target = Target(str(tmp_path / "kept.zarr"))
+    counts = {(r.x_chunk, r.y_chunk): r.n_cells for r in rechunk.assemble(cells_, *how, keep=zarr3.chunk_writer(target, "v", document)).collect()}
+    back = {(r.x_chunk, r.y_chunk): r for r in rechunk.assemble(cells_, *how).collect()}
+    assert counts == {k: r.n_cells for k, r in back.items()} == {(0, 0): 4, (0, 1): 2, (1, 0): 4, (1, 1): 2, (2, 0): 2}
+    assert all(target.read(zarr3.chunk_key("v", k)) == r.data for k, r in back.items())
+    assert zarr3.read_chunk(target, "v", (1, 1), document).tolist() == [[8], [11]] and not target.exists("v/c/2/1")
+
+
+def test_headers_by_batches(spark, tmp_path, monkeypatch):
+    """However many files a task has, so many headers are held at once; no other Python workers are started for the schemas."""
+    monkeypatch.setattr(openers, "HEADERS", 2)
+    urls = [write(tmp_path / f"{k}.nc", "v", k, np.full((1, 3), k)) for k in range(5)]
+    files, seen = spark.createDataFrame(list(enumerate(urls)), "day_pos long, url string"), []
+    real = type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, fn, *a: seen.append(fn) or real(self, fn, *a))
+    rows = openers.scan_schemas(files, (DAY,))
+    batch = pa.RecordBatch.from_pydict({"day_pos": pa.array(range(5), pa.int64()), "url": urls})
+    assert [b.num_rows for b in seen[0](iter([batch]))] == [2, 2, 1]
+    assert sorted(r.day_pos for r in rows.fragments.collect()) == [0, 1, 2, 3, 4] and rows.chunks.isEmpty()
+    assert "ExistingRDD" not in rows.chunks._jdf.queryExecution().toString()
+
+
 def test_labels_must_agree(spark, tmp_path):
     values = np.ones((1, 3))
     files = spark.createDataFrame([(0, write(tmp_path / "a.nc", "v", 0, values)), (1, write(tmp_path / "b.nc", "v", 1, values, station=(3, 5, 9)))], "day_pos long, url string")
